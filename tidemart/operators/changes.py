@@ -1,4 +1,9 @@
-"""Reading the change log: table and type filters, extraction, status transitions, increases."""
+"""Reading the change log: table and type filters, extraction, status transitions, increases.
+
+A change log comes as one feed of all tables, with row images as maps, or kept per table, with row
+images as structs. The second form is the one to store: column pruning then reaches into the
+images, which it cannot do for a map. Every function takes either.
+"""
 
 from __future__ import annotations
 
@@ -12,18 +17,33 @@ from tidemart.functions.numbers import whole
 IMAGE_TYPES = ("insert", "update", "bootstrap-insert")
 
 
-def extract(log: DataFrame, table: str, fields: Iterable[str], *,
+Log = DataFrame | Mapping[str, DataFrame]
+
+
+def of_table(log: Log, table: str) -> DataFrame:
+    """Changes of one source table."""
+    return log.filter(F.col("table") == table) if isinstance(log, DataFrame) else log[table]
+
+
+def typed(log: DataFrame, table: str, fields: Iterable[str]) -> DataFrame:
+    """Changes of one table of the feed with images as structs of the fields named, to be stored."""
+    names = list(fields)
+    images = {image: F.struct(*(F.col(image)[name].alias(name) for name in names))
+              for image in ("data", "old")}
+    return of_table(log, table).withColumns(images)
+
+
+def extract(log: Log, table: str, fields: Iterable[str], *,
             types: Iterable[str] | None = None, where: Column | None = None,
             rename: Mapping[str, str] | None = None,
             extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Rows of one table as columns.
 
     `fields` are keys of the row image, `rename` maps such a key to its column name and `extra`
-    adds computed columns. When the log is partitioned or stored by `table`, the two filters
-    reach the scan.
+    adds computed columns.
     """
     rename = rename or {}
-    rows = log.filter(F.col("table") == table)
+    rows = of_table(log, table)
     if types is not None:
         rows = rows.filter(F.col("type").isin(*types))
     if where is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tidemart.operators.changes import row_images
@@ -10,11 +12,21 @@ from tidemart.operators.versions import latest_per_key
 DEFAULT_KEY = "id"
 
 
-def route(log: DataFrame, config: DataFrame) -> DataFrame:
+def source_tables(config: DataFrame) -> list[str]:
+    """Names of the routed tables: control data, one row per source table of the database."""
+    return sorted(row[0] for row in config.select("source_table").distinct().collect())
+
+
+def route(log: DataFrame, config: DataFrame, tables: Sequence[str] | None = None) -> DataFrame:
     """Tag each row image with its target and keep the configured columns of it; tables without
-    a config row are dropped."""
+    a config row are dropped.
+
+    `tables`, from `source_tables`, turns that into a filter the scan of the log can use, so the
+    facts in the log, usually most of it, are not read at all.
+    """
     listed = F.split("sink_columns", ",")
-    return (row_images(log)
+    images = row_images(log if tables is None else log.filter(F.col("table").isin(*tables)))
+    return (images
             .join(config.select("source_table", "sink_table", "sink_columns", "sink_pk"),
                   F.col("table") == F.col("source_table"), "inner")
             .withColumn("data", F.map_filter("data", lambda key, _: F.array_contains(listed, key)))

@@ -15,24 +15,35 @@ class Parsed(NamedTuple):
     dirty: DataFrame
 
 
-def parse_text(raw: DataFrame, schema: T.StructType = BEHAVIOUR,
-               required: str | None = "common.mid") -> Parsed:
-    """Split text rows into parsed rows and rejects.
-
-    A row is dirty when it is empty, no JSON, or lacks the field later steps partition by.
-    `raw` has the text in `value`; its other columns are kept.
+def tag_text(raw: DataFrame, schema: T.StructType = BEHAVIOUR,
+             required: str | None = "common.mid") -> DataFrame:
+    """Parse the JSON text in `value` and mark what cannot be used.
+
+    A row is dirty when it is empty, no JSON, or lacks the field later steps partition by. Gives
+    the fields of `schema`, `value`, the other columns of `raw` and `dirty`. The parsed row passes
+    through an explode of one element: filters on it then stay above the parser, which would
+    otherwise run once more for every condition pushed below it.
     """
     corrupt = "_unparsed"
     wanted = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
     rest = [name for name in raw.columns if name != "value"]
-    parsed = raw.withColumn("_row", F.from_json(
-        F.coalesce("value", F.lit("")), wanted, {"columnNameOfCorruptRecord": corrupt}))
+    text = F.coalesce("value", F.lit(""))
+    row = F.from_json(text, wanted, {"columnNameOfCorruptRecord": corrupt})
+    parsed = raw.select(*rest, "value", F.explode(F.array(row)).alias("_row"))
     bad = F.col("_row").isNull() | F.col(f"_row.{corrupt}").isNotNull()
     if required:
         bad = bad | F.col(f"_row.{required}").isNull()
-    columns = [F.col(f"_row.{field.name}").alias(field.name) for field in schema.fields]
-    return Parsed(parsed.filter(~bad).select(*rest, *columns),
-                  parsed.filter(bad).select(*rest, "value"))
+    return parsed.select(*rest, "value", bad.alias("dirty"),
+                         *(F.col(f"_row.{field.name}").alias(field.name)
+                           for field in schema.fields))
+
+
+def parse_text(raw: DataFrame, schema: T.StructType = BEHAVIOUR,
+               required: str | None = "common.mid") -> Parsed:
+    """Parsed rows and rejects as two DataFrames."""
+    tagged = tag_text(raw, schema, required)
+    return Parsed(tagged.filter("NOT dirty").drop("value", "dirty"),
+                  tagged.filter("dirty").drop("dirty", *schema.names))
 
 
 def first_day_of(is_new: Column, ts: Column) -> Column:

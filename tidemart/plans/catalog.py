@@ -28,8 +28,9 @@ LINE_VERSION = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extende
                 "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
-def _feeds(spark: SparkSession, sf: str, *tables: str) -> tuple[DataFrame, DataFrame]:
-    return standin.change_log(spark, sf, *tables), standin.dictionary(spark)
+def _feeds(spark: SparkSession, sf: str, *tables: str,
+           ) -> tuple[dict[str, DataFrame], DataFrame]:
+    return standin.table_changes(spark, sf, *tables), standin.dictionary(spark)
 
 
 def _wide(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,12 +40,11 @@ def _wide(spark: SparkSession, sf: str) -> DataFrame:
 # --- behaviour log -----------------------------------------------------------------------------
 
 def dirty_split(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = logs.parse_text(standin.behaviour_text(spark, sf))
-    return (parsed.clean.select("event_id", F.lit("clean").alias("side"),
-                                F.col("common.mid").alias("mid"), "ts")
-            .unionByName(parsed.dirty.select("event_id", F.lit("dirty").alias("side"),
-                                             F.lit(None).cast("string").alias("mid"),
-                                             F.lit(None).cast("bigint").alias("ts"))))
+    rows = logs.tag_text(standin.behaviour_text(spark, sf))
+    clean = ~F.col("dirty")
+    return rows.select("event_id", F.when(clean, "clean").otherwise("dirty").alias("side"),
+                       F.when(clean, F.col("common.mid")).alias("mid"),
+                       F.when(clean, F.col("ts")).alias("ts"))
 
 
 def log_split_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,7 +132,7 @@ def login_back_window_default(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def register_window(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.register_window(facts.user_register(standin.change_log(spark, sf, "user_info")), HOUR)
+    return summaries.register_window(facts.user_register(standin.table_changes(spark, sf, "user_info")), HOUR)
 
 
 def cart_unique_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +143,7 @@ def cart_unique_window(spark: SparkSession, sf: str) -> DataFrame:
 
 def cdc_extract(spark: SparkSession, sf: str) -> DataFrame:
     return changes.extract(
-        standin.change_log(spark, sf, "order_info"), "order_info",
+        standin.table_changes(spark, sf, "order_info"), "order_info",
         ["id", "user_id", "province_id", "operate_time", "order_status"],
         types=["insert", "update"],
         extra={"type": F.col("type"), "old_status": F.col("old")["order_status"],
@@ -155,7 +155,7 @@ def status_change(spark: SparkSession, sf: str) -> DataFrame:
     turned = (changes.became("order_status", S.ORDER_CANCELLED)
               | changes.became("order_status", S.ORDER_REFUNDING)
               | changes.became("order_status", S.ORDER_REFUNDED))
-    return changes.extract(standin.change_log(spark, sf, "order_info"), "order_info",
+    return changes.extract(standin.table_changes(spark, sf, "order_info"), "order_info",
                            ["id", "order_status"], types=["update"], where=turned, extra={"ts": F.col("ts")})
 
 
@@ -195,19 +195,19 @@ def refund_paid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coupon_get(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.coupon_get(standin.change_log(spark, sf, "coupon_use"))
+    return facts.coupon_get(standin.table_changes(spark, sf, "coupon_use"))
 
 
 def coupon_order(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.coupon_order(standin.change_log(spark, sf, "coupon_use"))
+    return facts.coupon_order(standin.table_changes(spark, sf, "coupon_use"))
 
 
 def coupon_pay(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.coupon_pay(standin.change_log(spark, sf, "coupon_use"))
+    return facts.coupon_pay(standin.table_changes(spark, sf, "coupon_use"))
 
 
 def favor_add(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.favor_add(standin.change_log(spark, sf, "favor_info"))
+    return facts.favor_add(standin.table_changes(spark, sf, "favor_info"))
 
 
 def comment_dic(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +223,7 @@ def comment_unnamed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def user_register(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.user_register(standin.change_log(spark, sf, "user_info"))
+    return facts.user_register(standin.table_changes(spark, sf, "user_info"))
 
 
 # --- trade summaries ---------------------------------------------------------------------------
@@ -258,15 +258,21 @@ def brand_refund_window(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- dimensions and versions -------------------------------------------------------------------
 
+def _routed(spark: SparkSession, sf: str) -> DataFrame:
+    config = standin.routing(spark)
+    return dimensions.route(standin.change_log(spark, sf), config,
+                            dimensions.source_tables(config))
+
+
 def dim_route(spark: SparkSession, sf: str) -> DataFrame:
-    routed = dimensions.route(standin.change_log(spark, sf), standin.routing(spark))
+    routed = _routed(spark, sf)
     return routed.groupBy("sink_table", "type", F.concat_ws(",", F.array_sort(F.map_keys("data")))
                           .alias("kept")).agg(F.count("*").alias("row_count"),
                                               F.count_distinct("pk").alias("key_count"))
 
 
 def dim_latest(spark: SparkSession, sf: str) -> DataFrame:
-    routed = dimensions.route(standin.change_log(spark, sf), standin.routing(spark))
+    routed = _routed(spark, sf)
     routed = routed.withColumn("last_event", F.col("data")["last_event"].cast("bigint"))
     images = dimensions.current_images(routed, ("ts", "last_event"))
     data = F.col("data")
@@ -310,7 +316,7 @@ def two_key_lookup(spark: SparkSession, sf: str) -> DataFrame:
     items = versions.latest_per_key(
         lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"),
         ["l_orderkey", "l_partkey"], ("l_linenumber", "l_quantity"))
-    refunds = changes.extract(standin.change_log(spark, sf, "refund_payment"), "refund_payment",
+    refunds = changes.extract(standin.table_changes(spark, sf, "refund_payment"), "refund_payment",
                               ["id", "order_id", "sku_id", "refund_status"])
     refunds = (refunds.withColumn("order_id", F.col("order_id").cast("bigint"))
                .withColumn("sku_id", F.col("sku_id").cast("bigint")))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemart.functions.clock import day_text, from_seconds_text
 from tidemart.functions.numbers import product_text
-from tidemart.operators.changes import became, changed, extract, grew, increase, moved
+from tidemart.operators.changes import (Log, became, changed, extract, grew, increase,
+                                        moved)
 from tidemart.operators.lookups import name_of
 from tidemart import schemas as S
 
@@ -40,7 +41,7 @@ def _near(left: DataFrame, right: DataFrame, left_at: str, right_at: str,
     return [right[right_at] >= left[left_at] - wait, right[right_at] <= left[left_at] + wait]
 
 
-def cart_add(log: DataFrame, dic: DataFrame) -> DataFrame:
+def cart_add(log: Log, dic: DataFrame) -> DataFrame:
     rows = extract(log, "cart_info", ["id", "user_id", "sku_id", "source_id", "source_type"],
                    where=grew("sku_num"), rename={"source_type": "source_type_code"},
                    extra={"sku_num": increase("sku_num"), "ts": F.col("ts")})
@@ -49,7 +50,7 @@ def cart_add(log: DataFrame, dic: DataFrame) -> DataFrame:
         "sku_num", "ts")
 
 
-def order_wide(log: DataFrame, dic: DataFrame, bounds: Bounds | None = None) -> DataFrame:
+def order_wide(log: Log, dic: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Order detail with its order, its optional activity and coupon, and the source name."""
     detail = extract(
         log, "order_detail",
@@ -118,7 +119,7 @@ def order_cancel(wide: DataFrame) -> DataFrame:
         *_DETAIL_AMOUNTS, F.col("oi_ts").alias("ts"), "row_op_ts")
 
 
-def payment_success(log: DataFrame, details: DataFrame, dic: DataFrame,
+def payment_success(log: Log, details: DataFrame, dic: DataFrame,
                     bounds: Bounds | None = None) -> DataFrame:
     """Successful payments spread over the details of their order."""
     paid = extract(log, "payment_info", ["order_id", "payment_type", "callback_time"],
@@ -138,7 +139,7 @@ def payment_success(log: DataFrame, details: DataFrame, dic: DataFrame,
         "ts", "row_op_ts")
 
 
-def refund_request(log: DataFrame, dic: DataFrame, bounds: Bounds | None = None) -> DataFrame:
+def refund_request(log: Log, dic: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Refund requests of orders that have just turned to refunding."""
     refund = extract(
         log, "order_refund_info",
@@ -163,7 +164,7 @@ def refund_request(log: DataFrame, dic: DataFrame, bounds: Bounds | None = None)
         F.current_timestamp().alias("row_op_ts"))
 
 
-def refund_paid(log: DataFrame, dic: DataFrame, bounds: Bounds | None = None) -> DataFrame:
+def refund_paid(log: Log, dic: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Completed refund payments, with their order and the refunded item."""
     paid = extract(log, "refund_payment",
                    ["id", "order_id", "sku_id", "payment_type", "callback_time", "total_amount"],
@@ -190,7 +191,7 @@ def refund_paid(log: DataFrame, dic: DataFrame, bounds: Bounds | None = None) ->
         "refund_num", "refund_amount", "ts", F.current_timestamp().alias("row_op_ts"))
 
 
-def _coupon(log: DataFrame, time: str, types: list[str], where: Column | None,
+def _coupon(log: Log, time: str, types: list[str], where: Column | None,
             name: str | None = None, order: bool = True) -> DataFrame:
     when = F.col("data")[time]
     return extract(log, "coupon_use",
@@ -199,29 +200,29 @@ def _coupon(log: DataFrame, time: str, types: list[str], where: Column | None,
                    extra={"date_id": day_text(when), name or time: when, "ts": F.col("ts")})
 
 
-def coupon_get(log: DataFrame) -> DataFrame:
+def coupon_get(log: Log) -> DataFrame:
     return _coupon(log, "get_time", ["insert"], None, order=False)
 
 
-def coupon_order(log: DataFrame) -> DataFrame:
+def coupon_order(log: Log) -> DataFrame:
     """Coupons that went from unused to in use."""
     return _coupon(log, "using_time", ["update"],
                    moved("coupon_status", S.COUPON_UNUSED, S.COUPON_USING), "order_time")
 
 
-def coupon_pay(log: DataFrame) -> DataFrame:
+def coupon_pay(log: Log) -> DataFrame:
     """Coupons with a time of use."""
     return _coupon(log, "used_time", ["update"], F.col("data")["used_time"].isNotNull(),
                    "payment_time")
 
 
-def favor_add(log: DataFrame) -> DataFrame:
+def favor_add(log: Log) -> DataFrame:
     made = F.col("data")["create_time"]
     return extract(log, "favor_info", ["id", "user_id", "sku_id"], types=["insert"],
                    extra={"date_id": day_text(made), "create_time": made, "ts": F.col("ts")})
 
 
-def comment_add(log: DataFrame, dic: DataFrame) -> DataFrame:
+def comment_add(log: Log, dic: DataFrame) -> DataFrame:
     made = F.col("data")["create_time"]
     rows = extract(log, "comment_info", ["id", "user_id", "sku_id", "order_id", "appraise"],
                    types=["insert"], rename={"appraise": "appraise_code"},
@@ -231,7 +232,7 @@ def comment_add(log: DataFrame, dic: DataFrame) -> DataFrame:
         "appraise_name", "ts")
 
 
-def user_register(log: DataFrame) -> DataFrame:
+def user_register(log: Log) -> DataFrame:
     made = F.col("data")["create_time"]
     return extract(log, "user_info", ["id"], types=["insert"], rename={"id": "user_id"},
                    extra={"date_id": day_text(made), "create_time": made, "ts": F.col("ts")})

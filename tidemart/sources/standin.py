@@ -1,17 +1,18 @@
 """The mart's two feeds and its dimensions, derived from the star-schema test tables.
 
-Everything here is a column expression over the tables, so Catalyst sees through it: the change
-log is one union of all source tables, and a job that extracts one of them scans only that one.
+Everything here is a column expression over the tables, so Catalyst sees through it and scans only
+the columns a job comes to use.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemart.functions.clock import SECOND_FORMAT
-from tidemart.schemas import DICTIONARY_NAMES, ROUTING, TEXT_MAP
+from tidemart.schemas import DICTIONARY_NAMES, ROUTING
 from tidemart.session import configure
 
 # Targets of the dimension loader.
@@ -23,7 +24,15 @@ ROUTING_ROWS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan that has fewer splits than the cluster has cores are dealt out evenly, so
+    that a single small file does not keep all work on one core. A large table has far more
+    splits than cores and is left alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _text(value: Column) -> Column:
@@ -100,20 +109,21 @@ def page_rows(log: DataFrame) -> DataFrame:
 
 # --- change log --------------------------------------------------------------------------------
 
-def _image(**fields: Column) -> Column:
-    return F.create_map(*(part for name, value in fields.items()
-                          for part in (F.lit(name), _text(value))))
-
+def _image(**fields: Column) -> dict[str, Column]:
+    return {name: _text(value) for name, value in fields.items()}
 
-_NO_OLD = F.lit(None).cast(TEXT_MAP)
 
-
-def _changes(rows: DataFrame, name: str, kind: Column | str, data: Column, seconds: Column,
-             old: Column = _NO_OLD) -> DataFrame:
+def _changes(rows: DataFrame, name: str, kind: Column | str, data: dict[str, Column],
+             seconds: Column, old: dict[str, Column] | None = None) -> DataFrame:
+    """Change rows of one table with their images as structs. A null in `old` stands for a column
+    the change left alone."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return rows.select(F.lit("mall").alias("database"), F.lit(name).alias("table"),
-                       kind.alias("type"), data.alias("data"), old.alias("old"),
-                       _text(seconds).alias("ts"))
+    before = old or {"_none": F.lit(None).cast("string")}
+    return rows.select(
+        F.lit("mall").alias("database"), F.lit(name).alias("table"), kind.alias("type"),
+        F.struct(*(value.alias(key) for key, value in data.items())).alias("data"),
+        F.struct(*(value.alias(key) for key, value in before.items())).alias("old"),
+        _text(seconds).alias("ts"))
 
 
 def _seconds(day: str, spread: str) -> Column:
@@ -125,14 +135,32 @@ def _clock(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), SECOND_FORMAT)
 
 
-def change_log(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
-    """The change log of the mart: all source tables, or only the ones named."""
-    makers = {**LINE_TABLES, **ORDER_TABLES, **EVENT_TABLES, **DIMENSION_TABLES}
-    parts = []
-    for name in tables or makers:
-        source, make = makers[name]
-        parts.append(make(name, _source(spark, sf_dir, source)))
-    return reduce(DataFrame.unionByName, parts)
+def table_changes(spark: SparkSession, sf_dir: str, *tables: str) -> dict[str, DataFrame]:
+    """The change log kept per source table, with typed images: a job reads only the tables, and
+    of their images only the columns, that it uses."""
+    found = {}
+    for name in tables or MAKERS:
+        source, make = MAKERS[name]
+        found[name] = make(name, _source(spark, sf_dir, source))
+    return found
+
+
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log as one feed of all tables, images as maps."""
+    return as_one_log(table_changes(spark, sf_dir))
+
+
+def as_one_log(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per-table changes as one feed; `old` keeps changed columns only, and is null for none."""
+    def with_maps(rows: DataFrame) -> DataFrame:
+        data, old = (F.create_map(*(part for key in rows.schema[name].dataType.names
+                                    for part in (F.lit(key), F.col(f"{name}.{key}"))))
+                     for name in ("data", "old"))
+        changed = F.map_filter(old, lambda _, value: value.isNotNull())
+        return rows.withColumn("data", data).withColumn(
+            "old", F.when(F.size(changed) > 0, changed))
+
+    return reduce(DataFrame.unionByName, [with_maps(rows) for rows in tables.values()])
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -219,13 +247,13 @@ def _order_info(name: str, orders: DataFrame) -> DataFrame:
     at, updated = _seconds("o_orderdate", "o_orderkey"), key % 3 != 0
     status = (F.when(flag == "O", "1001").when(flag == "F", "1003")
               .when(key % 4 < 2, "1005").otherwise("1006"))
-    before = F.when(key % 5 != 0, _image(order_status=F.lit("1001"))).otherwise(
-        _image(operate_time=_clock(at)))
+    old = _image(order_status=F.when(updated & (key % 5 != 0), "1001"),
+                 operate_time=F.when(updated & (key % 5 == 0), _clock(at)))
     return _changes(
         orders, name, F.when(updated, "update").otherwise("insert"),
         _image(id=key, user_id=F.col("o_custkey"), province_id=F.col("o_custkey") % 27,
                order_status=status, operate_time=F.when(updated, _clock(at + 600))),
-        at, F.when(updated, before))
+        at, old)
 
 
 def _payment_info(name: str, orders: DataFrame) -> DataFrame:
@@ -242,8 +270,7 @@ def _coupon_use(name: str, orders: DataFrame) -> DataFrame:
     key, at = F.col("o_orderkey"), _seconds("o_orderdate", "o_orderkey")
     step = key % 4
     status = F.when(step == 0, "1401").when(step == 2, "1403").otherwise("1402")
-    old = (F.when(step == 1, _image(coupon_status=F.lit("1401")))
-           .when(step >= 2, _image(coupon_status=F.lit("1402"))))
+    old = _image(coupon_status=F.when(step == 1, "1401").when(step >= 2, "1402"))
     return _changes(
         orders, name, F.when(step == 0, "insert").otherwise("update"),
         _image(id=key, coupon_id=F.col("o_custkey") % 50, user_id=F.col("o_custkey"),
@@ -258,13 +285,14 @@ def _event_seconds() -> Column:
 def _cart_info(name: str, events: DataFrame) -> DataFrame:
     k, at, added = F.col("k"), _event_seconds(), F.col("event_id") % 3 == 0
     number = F.when(k % 25 == 24, "n/a").otherwise(_text(k))
-    old = F.when(F.col("event_id") % 4 != 0, _image(sku_num=k * 7 % 100)).otherwise(
-        _image(source_id=k))
+    counted = F.col("event_id") % 4 != 0
+    old = _image(sku_num=F.when(~added & counted, k * 7 % 100),
+                 source_id=F.when(~added & ~counted, k))
     return _changes(
         events.filter("event_type = 'purchase'"), name,
         F.when(added, "insert").otherwise("update"),
         _image(id=F.col("event_id"), user_id=F.col("user_id"), sku_id=k * 3, source_id=k % 11,
-               source_type=2401 + k % 5, sku_num=number), at, F.when(~added, old))
+               source_type=2401 + k % 5, sku_num=number), at, old)
 
 
 def _favor_info(name: str, events: DataFrame) -> DataFrame:
@@ -320,18 +348,24 @@ ORDER_TABLES = {"order_info": ("orders", _order_info), "payment_info": ("orders"
 EVENT_TABLES = {"cart_info": ("events", _cart_info), "favor_info": ("events", _favor_info),
                 "comment_info": ("events", _comment_info), "user_info": ("events", _user_info)}
 DIMENSION_TABLES = {"sku_info": ("part", _sku_info), "base_province": ("nation", _base_province)}
+MAKERS = {**LINE_TABLES, **ORDER_TABLES, **EVENT_TABLES, **DIMENSION_TABLES}
+
+# tables a wide order row is put together from
 ORDERING = ("order_detail", "order_info", "order_detail_activity", "order_detail_coupon")
 
 
 # --- dimensions --------------------------------------------------------------------------------
 
 def dictionary(spark: SparkSession) -> DataFrame:
-    rows = [(code, name, code[:2]) for code, name in DICTIONARY_NAMES.items()]
-    return spark.createDataFrame(rows, "dic_code string, dic_name string, parent_code string")
+    rows = [{"dic_code": code, "dic_name": name, "parent_code": code[:2]}
+            for code, name in DICTIONARY_NAMES.items()]
+    return spark.createDataFrame(pa.Table.from_pylist(rows))
 
 
 def routing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROUTING_ROWS, ROUTING)
+    rows = [dict(zip(ROUTING.names, row)) for row in ROUTING_ROWS]
+    fields = pa.schema([(name, pa.string()) for name in ROUTING.names])
+    return spark.createDataFrame(pa.Table.from_pylist(rows, fields))
 
 
 def provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
