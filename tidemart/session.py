@@ -16,7 +16,9 @@ _LOCAL_DIRS: dict[str, str] = {}
 def build(master: str | None = None, shuffle_partitions: int | None = None,
           time_zone: str = "UTC", extra: dict[str, str] | None = None) -> SparkSession:
     """A session for jobs started outside spark-submit; on a cluster leave `master` unset."""
-    builder = SparkSession.builder.appName("tidemart")
+    builder = (SparkSession.builder.appName("tidemart")
+               # no call-site capture for each column expression; it slows down plan building
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

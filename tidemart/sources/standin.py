@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemart.functions.clock import SECOND_FORMAT
 from tidemart.schemas import DICTIONARY_NAMES, ROUTING
@@ -23,16 +23,23 @@ ROUTING_ROWS = [
 ]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+# per application and path: the schema, and whether a scan has fewer splits than there are cores
+_KNOWN: dict[tuple[str, str], tuple[T.StructType, bool]] = {}
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a scan that has fewer splits than the cluster has cores are dealt out evenly, so
-    that a single small file does not keep all work on one core. A large table has far more
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table. A scan with fewer splits than the cluster has cores is dealt out by its first
+    column, so that a small file does not keep all work on one core; a large table has far more
     splits than cores and is left alone."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    cores = spark.sparkContext.defaultParallelism
+    place = (spark.sparkContext.applicationId, path)
+    if place not in _KNOWN:
+        rows = configure(spark).read.parquet(path)
+        _KNOWN[place] = rows.schema, rows.rdd.getNumPartitions() < cores
+    schema, narrow = _KNOWN[place]
+    rows = configure(spark).read.schema(schema).parquet(path)
+    return rows.repartition(cores, schema.names[0]) if narrow else rows
 
 
 def _text(value: Column) -> Column:
@@ -138,11 +145,10 @@ def _clock(seconds: Column) -> Column:
 def table_changes(spark: SparkSession, sf_dir: str, *tables: str) -> dict[str, DataFrame]:
     """The change log kept per source table, with typed images: a job reads only the tables, and
     of their images only the columns, that it uses."""
-    found = {}
-    for name in tables or MAKERS:
-        source, make = MAKERS[name]
-        found[name] = make(name, _source(spark, sf_dir, source))
-    return found
+    names = tables or tuple(MAKERS)
+    sources = {source: _source(spark, sf_dir, source)
+               for source in {MAKERS[name][0] for name in names}}
+    return {name: MAKERS[name][1](name, sources[MAKERS[name][0]]) for name in names}
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
