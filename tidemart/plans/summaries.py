@@ -3,7 +3,7 @@ the processing time stamp of the sink row is added by the sink."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemart import schemas as S
 from tidemart.functions.clock import day_of_ms, from_ms, from_ms_by_second, from_seconds_text
@@ -118,7 +118,7 @@ def register_window(registrations: DataFrame, size: str = SIZE) -> DataFrame:
                     {"register_ct": F.count("*")}, size)
 
 
-def _ms(rows: DataFrame):
+def _ms(rows: DataFrame) -> Column:
     return rows["ts"].try_cast("bigint") * 1000
 
 

@@ -7,7 +7,7 @@ comes out once, when the watermark has passed it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemart import schemas as S
 from tidemart.functions.clock import day_of_ms, from_ms, from_ms_by_second, from_seconds_text
@@ -63,19 +63,19 @@ def register_window(registrations: DataFrame, size: str = SIZE) -> DataFrame:
                     {"register_ct": F.count("*")}, size)
 
 
-def _ms(rows: DataFrame):
+def _ms(rows: DataFrame) -> Column:
     return rows["ts"].try_cast("bigint") * 1000
 
 
 def cart_user_window(adds: DataFrame, size: str = SIZE) -> DataFrame:
     rows = timed_by_seconds(adds.select("user_id", "ts"))
-    firsts = rules.new_days(rows, {"_user": F.col("user_id")}, _ms(rows), event_time=AT)
+    firsts = rules.new_days(rows, {"_user": F.col("user_id")}, _ms(rows), (AT,), event_time=AT)
     return tumbling(firsts, F.col(AT), [], {"cart_uu_ct": F.count("*")}, size)
 
 
-def _marked(rows: DataFrame, day, order: tuple[str, ...]) -> DataFrame:
-    marks = rules.day_marks(rows.select("user_id", AT, *order, day.alias("_of")), "user_id",
-                            F.col("_of"), order, event_time=AT)
+def _marked(rows: DataFrame, day: Column) -> DataFrame:
+    marks = rules.day_marks(rows.select("user_id", AT, day.alias("_of")), "user_id",
+                            F.col("_of"), (AT,), event_time=AT)
     return marks.select(AT, F.lit(1).cast("bigint").alias("unique"),
                         F.when(F.col("_last").isNull(), 1).otherwise(0).cast("bigint").alias("new"))
 
@@ -88,7 +88,7 @@ def order_window(settled: DataFrame, size: str = SIZE) -> DataFrame:
     amounts = rows.select(AT, none.alias("unique"), none.alias("new"), *(
         F.coalesce(money(F.col(column)), zero).alias(name)
         for name, column in summaries.ORDER_AMOUNTS.items()))
-    marks = _marked(rows, F.col("date_id").try_cast("date"), ("ts",)).select(
+    marks = _marked(rows, F.col("date_id").try_cast("date")).select(
         AT, "unique", "new", *(zero.alias(name) for name in summaries.ORDER_AMOUNTS))
     return tumbling(amounts.unionByName(marks), F.col(AT), [], {
         "unique_users": F.sum("unique"), "new_users": F.sum("new"),
@@ -97,7 +97,7 @@ def order_window(settled: DataFrame, size: str = SIZE) -> DataFrame:
 
 def payment_window(settled: DataFrame, size: str = SIZE) -> DataFrame:
     rows = timed_by_seconds(settled)
-    return tumbling(_marked(rows, day_of_ms(_ms(rows)), ("ts",)), F.col(AT), [],
+    return tumbling(_marked(rows, day_of_ms(_ms(rows))), F.col(AT), [],
                     {"unique_users": F.sum("unique"), "new_users": F.sum("new")}, size)
 
 
