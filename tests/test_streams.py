@@ -1,5 +1,8 @@
 """Stream and batch give the same answers on time-ordered input in several micro-batches."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,12 +137,13 @@ def test_hold_latest_version(replay, spark):
     query = sinks.start(sinks.to_files(rules.settled(stream, hold_ms=1500), out), checkpoint,
                         every="200 milliseconds")
     try:
-        for _ in range(150):
-            query.processAllAvailable()
-            if spark.read.schema(first.schema).parquet(out).count() >= 2:
-                break
-            query.awaitTermination(0.2)
-        found = {tuple(row) for row in spark.read.schema(first.schema).parquet(out).collect()}
+        deadline = time.monotonic() + 40
+        found = set()
+        while len(found) < 2 and time.monotonic() < deadline:
+            query.awaitTermination(1)
+            if os.path.exists(f"{out}/_spark_metadata"):
+                found = {tuple(row) for row in
+                         spark.read.schema(first.schema).parquet(out).collect()}
     finally:
         query.stop()
     assert found == {("a", 3, "new"), ("b", 1, "only")}
