@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,7 +11,9 @@ from tidemart.functions.clock import from_ms
 from tidemart.functions.words import words
 from tidemart.operators import changes, dimensions, logs, lookups, versions, visits, windows
 from tidemart.plans import facts, summaries
+from tidemart.session import work_dir
 from tidemart.sources import standin
+from tidemart.streaming import jobs, rules, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -331,6 +333,84 @@ def click_filter_count(spark: SparkSession, sf: str) -> DataFrame:
                             from_ms(F.col("ts")), ["user"], {"row_count": F.count("*")}, HOUR)
 
 
+# --- the same rules on streams -----------------------------------------------------------------
+
+def _taken(rows: DataFrame, name: str, keys: Sequence[str] = (), mode: str = "update",
+           ) -> DataFrame:
+    """Run a stream over what its source holds now, and read back what it wrote."""
+    spark, schema = rows.sparkSession, rows.schema
+    path, checkpoint = work_dir(spark, name), work_dir(spark, f"{name}-checkpoint")
+    writer = sinks.to_upserts(rows, path, keys, mode=mode) if keys else sinks.to_files(rows, path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    # one state store per core; a stream keeps the number it starts with
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        query = sinks.start(writer, checkpoint)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    query.awaitTermination()
+    return sinks.current(spark, path, keys) if keys else spark.read.schema(schema).parquet(path)
+
+
+def stream_new_visitor_repair(spark: SparkSession, sf: str) -> DataFrame:
+    fixed = rules.repair_new_visitors(standin.behaviour(spark, sf, stream=True), TIE)
+    return _taken(fixed.select("event_id", F.col("common.mid").alias("mid"),
+                               F.col("common.is_new").alias("is_new"), "ts"), "repair")
+
+
+def stream_unique_visitor_daily(spark: SparkSession, sf: str) -> DataFrame:
+    rows = rules.daily_visitors(standin.pages(spark, sf, stream=True), TIE)
+    return _taken(rows.select("event_id", "common.*", "page.*", "ts"), "visitors")
+
+
+def stream_login_days(spark: SparkSession, sf: str) -> DataFrame:
+    return _taken(rules.daily_logins(standin.pages(spark, sf, stream=True), RETURN_DAYS), "logins")
+
+
+def stream_page_visitors(spark: SparkSession, sf: str) -> DataFrame:
+    return _taken(rules.daily_page_visitors(standin.pages(spark, sf, stream=True)), "page-visitors")
+
+
+def stream_keyword_window(spark: SparkSession, sf: str) -> DataFrame:
+    rows = jobs.keyword_window(standin.pages(spark, sf, stream=True), HOUR)
+    return _taken(rows, "keywords", ["stt", "keyword"])
+
+
+def stream_register_window(spark: SparkSession, sf: str) -> DataFrame:
+    log = standin.table_changes(spark, sf, "user_info", stream=True)
+    return _taken(jobs.register_window(facts.user_register(log), HOUR), "registrations", ["stt"])
+
+
+def stream_traffic_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounces and daily visitors as tables of their own, then the three streams together."""
+    pages, parts = standin.pages(spark, sf), []
+    for name, rows in (("bounces", visits.bounces(pages, GAP_MS, PIECE_MS, TIE)),
+                       ("visitors", visits.daily_visitors(pages, TIE))):
+        path = work_dir(spark, name)
+        rows.write.parquet(path)
+        parts.append(spark.readStream.schema(rows.schema).parquet(path))
+    rows = jobs.traffic_window(standin.pages(spark, sf, stream=True), *parts, HOUR, GAP_MS)
+    return _taken(rows, "traffic", ["stt", "version", "channel", "area", "is_new"])
+
+
+def stream_cart_delta(spark: SparkSession, sf: str) -> DataFrame:
+    log = standin.table_changes(spark, sf, "cart_info", stream=True)
+    return _taken(facts.cart_add(log, standin.dictionary(spark)), "cart")
+
+
+def stream_refund_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream-stream join; the test lines are shipped years after their order, so the sides wait
+    long."""
+    log = standin.table_changes(spark, sf, "order_refund_info", "order_info", stream=True)
+    rows = facts.refund_request(log, standin.dictionary(spark), facts.Bounds("4000 days"))
+    return _taken(rows.drop("row_op_ts"), "refunds")
+
+
+def stream_changelog_count(spark: SparkSession, sf: str) -> DataFrame:
+    rows = windows.live_count(standin.table(spark, sf, "events", stream=True), "user_id")
+    return _taken(rows, "counts", ["user_id"])
+
+
 QUERIES: dict[str, Query] = {query.__name__: query for query in (
     dirty_split, log_split_counts, new_visitor_repair, log_page, log_start, log_display,
     log_action, log_error, unique_visitor_daily, bounce_detail, keyword_window, keyword_docs,
@@ -340,4 +420,7 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     coupon_order, coupon_pay, favor_add, comment_dic, comment_unnamed, user_register,
     order_window, payment_window, province_window, user_spu_window, brand_refund_window,
     dim_route, dim_latest, dim_unrouted, latest_by_key, upsert_by_key, changelog_count,
-    left_lookup, two_key_lookup, click_filter_count)}
+    left_lookup, two_key_lookup, click_filter_count, stream_new_visitor_repair,
+    stream_unique_visitor_daily, stream_login_days, stream_page_visitors, stream_keyword_window,
+    stream_register_window, stream_traffic_window, stream_cart_delta, stream_refund_detail,
+    stream_changelog_count)}

@@ -480,3 +480,17 @@ WHERE r.l_returnflag = 'R'""",
 SELECT {_bounds('ts', _HOUR)}, uid AS user, count(*) AS row_count
 FROM log WHERE ch = 'click' GROUP BY ALL"""),
 }
+
+# Streams end with the rows of their batch form.
+ORACLE.update({f"stream_{name}": ORACLE[name] for name in (
+    "new_visitor_repair", "unique_visitor_daily", "keyword_window", "register_window",
+    "traffic_window", "cart_delta", "refund_detail", "changelog_count")})
+ORACLE["stream_login_days"] = _log("""
+SELECT uid AS user_id, ts, CAST(1 AS BIGINT) AS uu_ct,
+       CAST(CASE WHEN date_diff('day', last_day, day) >= 4 THEN 1 ELSE 0 END AS BIGINT) AS back_ct
+FROM (SELECT *, lag(day) OVER (PARTITION BY uid ORDER BY ts, event_id) AS last_day
+      FROM page WHERE uid IS NOT NULL AND (last_page_id IS NULL OR last_page_id = 'login'))
+WHERE last_day IS NULL OR last_day <> day""")
+ORACLE["stream_page_visitors"] = _log("""
+SELECT mid, page_id, min(ts) AS ts
+FROM page WHERE page_id IN ('home', 'good_detail') GROUP BY mid, page_id, day""")

@@ -27,8 +27,8 @@ ROUTING_ROWS = [
 _KNOWN: dict[tuple[str, str], tuple[T.StructType, bool]] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. A scan with fewer splits than the cluster has cores is dealt out by its first
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A test table, whole or as a stream of its files. A scan with fewer splits than the cluster has cores is dealt out by its first
     column, so that a small file does not keep all work on one core; a large table has far more
     splits than cores and is left alone."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
@@ -38,7 +38,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         rows = configure(spark).read.parquet(path)
         _KNOWN[place] = rows.schema, rows.rdd.getNumPartitions() < cores
     schema, narrow = _KNOWN[place]
-    rows = configure(spark).read.schema(schema).parquet(path)
+    session = configure(spark)
+    # a stream source takes a single file only as the match of a pattern
+    rows = (session.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]") if stream
+            else session.read.schema(schema).parquet(path))
     return rows.repartition(cores, schema.names[0]) if narrow else rows
 
 
@@ -52,9 +55,9 @@ def _money(value: Column) -> Column:
 
 # --- behaviour log -----------------------------------------------------------------------------
 
-def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+def behaviour(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Events as parsed behaviour-log rows, with `event_id` kept to break ties."""
-    return behaviour_of(table(spark, sf_dir, "events"))
+    return behaviour_of(table(spark, sf_dir, "events", stream))
 
 
 def behaviour_of(events: DataFrame) -> DataFrame:
@@ -105,9 +108,9 @@ def behaviour_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", value.alias("value"))
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pages(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Page stream of the log, before new-visitor repair."""
-    return page_rows(behaviour(spark, sf_dir))
+    return page_rows(behaviour(spark, sf_dir, stream))
 
 
 def page_rows(log: DataFrame) -> DataFrame:
@@ -142,11 +145,12 @@ def _clock(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), SECOND_FORMAT)
 
 
-def table_changes(spark: SparkSession, sf_dir: str, *tables: str) -> dict[str, DataFrame]:
+def table_changes(spark: SparkSession, sf_dir: str, *tables: str, stream: bool = False,
+                  ) -> dict[str, DataFrame]:
     """The change log kept per source table, with typed images: a job reads only the tables, and
     of their images only the columns, that it uses."""
     names = tables or tuple(MAKERS)
-    sources = {source: _source(spark, sf_dir, source)
+    sources = {source: _source(spark, sf_dir, source, stream)
                for source in {MAKERS[name][0] for name in names}}
     return {name: MAKERS[name][1](name, sources[MAKERS[name][0]]) for name in names}
 
@@ -169,8 +173,8 @@ def as_one_log(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [with_maps(rows) for rows in tables.values()])
 
 
-def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = table(spark, sf_dir, name)
+def _source(spark: SparkSession, sf_dir: str, name: str, stream: bool) -> DataFrame:
+    rows = table(spark, sf_dir, name, stream)
     if name != "events":
         return rows
     return rows.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
