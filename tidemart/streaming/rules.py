@@ -9,10 +9,12 @@ bounded by the source (`maxFilesPerTrigger`, `maxOffsetsPerTrigger`).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +23,9 @@ from tidemart.operators.logs import first_day_of, repaired
 from tidemart.operators.visits import (BOUNCE_GAP_MS, RETURN_DAYS, inner_pages, login_pages,
                                        with_overlap)
 
+# The rules travel to the workers by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _DAY = T.StructType([T.StructField("day", T.DateType())])
 
 
