@@ -68,3 +68,11 @@ def test_hot_visitor_gives_whole_results(spark):
     wrong = (fixed.filter("common.mid = 'm0'").filter((F.col("common.is_new") == "1")
                                                       & (day != known)).count())
     assert wrong == 0
+
+
+def test_first_day_by_time_alone_is_hashed(spark):
+    rows = hot(spark, 3000)
+    hashed = logs.repair_new_visitors(rows)
+    assert "SortAggregate" not in plan_of(hashed)
+    sorted_ = logs.repair_new_visitors(rows, ("ts", "id"))
+    assert hashed.exceptAll(sorted_).count() == 0 and sorted_.exceptAll(hashed).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column
 
 MONEY = "decimal(16,2)"
 
@@ -19,9 +19,3 @@ def product_text(count: Column, price: Column) -> Column:
 
 def whole(text: Column) -> Column:
     return text.try_cast("int")
-
-
-def total(amount: Column) -> Column:
-    """Sum of an amount with null as zero. It adds decimals, so the result does not depend on
-    the order in which partial sums meet, and turns into the double of the summary at the end."""
-    return F.sum(F.coalesce(amount, F.lit(0).cast(MONEY))).cast("double")

@@ -56,16 +56,27 @@ def repaired(is_new: Column, ts: Column, first_day: Column) -> Column:
     return F.when((is_new == "1") & (day_of_ms(ts) != first_day), F.lit("0")).otherwise(is_new)
 
 
+def _first_day(order: tuple[str, ...]) -> Column:
+    """Aggregate for `first_day_of` the first row. Ordered by time alone it takes two minima of
+    numbers, which Spark keeps in a hash table; a longer order needs rows, which it has to sort."""
+    is_new, ts = F.col("common.is_new"), F.col("ts")
+    if tuple(order) == ("ts",):
+        starts_new = F.min(F.when(is_new == "1", ts)) == F.min(ts)
+        return F.when(starts_new, day_of_ms(F.min(ts))).otherwise(
+            day_of_ms(F.min(ts) - F.lit(DAY_MS)))
+    return F.min_by(first_day_of(is_new, ts), F.struct(*order))
+
+
 def repair_new_visitors(log: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Clear `common.is_new` on rows after a visitor's first day.
 
     The first row of every visitor comes from an aggregation, so a visitor with very many rows
     sends one row per input partition instead of all of them to one task; the join back is
-    against one row per visitor and AQE splits hot partitions of the log side.
+    against one row per visitor and AQE splits hot partitions of the log side. Ordered
+    by time alone, a new row counts as first among rows of the same time.
     """
-    row = F.struct(*order)
     first = log.groupBy(F.col("common.mid").alias("_mid")).agg(
-        F.min_by(first_day_of(F.col("common.is_new"), F.col("ts")), row).alias("_first_day"))
+        _first_day(order).alias("_first_day"))
     fixed = repaired(F.col("common.is_new"), F.col("ts"), F.col("_first_day"))
     return (log.join(first, log["common.mid"] == first["_mid"], "left")
             .withColumn("common", F.col("common").withField("is_new", fixed))

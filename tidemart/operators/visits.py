@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemart.functions.clock import DAY_MS, day_of_ms
+from tidemart.functions.clock import day_of_ms
 from tidemart.operators.versions import first_per_key
 
 BOUNCE_GAP_MS = 10_000
@@ -114,6 +114,6 @@ def bounces(pages: DataFrame, gap_ms: int = BOUNCE_GAP_MS, piece_ms: int | None
             .drop("_piece", "_copied", "_next_ts", "_next_entry"))
 
 
-__all__ = ["BOUNCE_GAP_MS", "DAY_MS", "RETURN_DAYS", "bounces", "daily_logins",
+__all__ = ["BOUNCE_GAP_MS", "RETURN_DAYS", "bounces", "daily_logins",
            "daily_page_visitors", "daily_users", "daily_visitors", "inner_pages", "login_pages",
            "user_period_measures", "with_overlap"]

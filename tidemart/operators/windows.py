@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemart.functions.clock import second_text
-from tidemart.functions.numbers import total
+from tidemart.functions.numbers import MONEY
 
 SIZE = "10 seconds"
 
@@ -48,7 +48,7 @@ def orders_and_amount(rows: DataFrame, at: Column | str, keys: Sequence[str], or
         once = per_order.agg(F.lit(1).alias("_one"))
         sums: list[Column] = []
     else:
-        once = per_order.agg(F.sum(F.coalesce(amount, F.lit(0).cast("decimal(16,2)")))
+        once = per_order.agg(F.sum(F.coalesce(amount, F.lit(0).cast(MONEY)))
                              .alias("_amount"))
         sums = [F.sum("_amount").cast("double").alias(amount_name)]
     again = F.window("window", size) if rows.isStreaming else F.col("window")
@@ -60,4 +60,4 @@ def live_count(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("row_count"))
 
 
-__all__ = ["SIZE", "bounds", "live_count", "orders_and_amount", "per_window", "total", "tumbling"]
+__all__ = ["SIZE", "bounds", "live_count", "orders_and_amount", "per_window", "tumbling"]
