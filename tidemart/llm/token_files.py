@@ -24,10 +24,13 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -46,49 +49,128 @@ MANIFEST = "shard long, file string, n_docs long, n_nulls long, n_tokens long, n
 
 #: A space with white space on both sides: where cutting before it would change the pieces.
 _TIED = re.compile(r"\s (?:\s|\Z)")
-#: Pieces a worker remembers; beyond that it starts anew.
-_KNOWN = 600_000
+# Fixed value: how a byte-level tokenizer cuts a text into pieces.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+                        r"|\s+(?!\S)|\s+")
+#: Marks that form one piece after a word.
+_MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: Words a worker remembers; beyond that it starts anew.
+_KNOWN = 300_000
+#: Words that go to the model at once.
+_TOGETHER = 256
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes
+    stand for themselves, the others follow from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Encoder:
     """Encodes whole texts with the tokenizers library.
 
-    A byte-level vocabulary of this kind never joins a word to the space after it, so a text can be
-    cut before single spaces, and each piece that recurs is encoded once per worker. Texts where
-    that doesn't hold (a space between other white space) are encoded in one go.
+    Texts mostly consist of single-spaced words, and a byte-level vocabulary never joins a word to
+    the space after it. So a text can be cut before single spaces, each word that recurs is encoded
+    once, and words of letters go to the library's model many at a time. Where that doesn't hold (a
+    space between other white space, another kind of vocabulary) texts are encoded in one go.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 65_536 else "<u4")
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.model.get_vocab()
+        self.type = np.dtype("<u2" if len(vocabulary) <= 65_536 else "<u4")
+        self.letters = _byte_letters()
+        space = self.letters[32]
+        bytes_of = {letter: b for b, letter in self.letters.items()}
+        # entries with a space inside, all of whose words are letters, would join words
+        joins = any(any(word.isalpha() for word in bytes(
+            bytes_of.get(c, 32) for c in entry).decode(errors="replace").split(" "))
+            for entry in vocabulary if space in entry.lstrip(space))
+        splitter = self.model.pre_tokenizer
+        self.by_word = (isinstance(self.model.model, models.BPE) and not joins
+                        and isinstance(splitter, pre_tokenizers.ByteLevel)
+                        and not splitter.add_prefix_space and self.model.normalizer is None)
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for entry, number in vocabulary.items():
+            self.lengths[number] = len(entry)
+        self.bpe = self.model.model
+        self.known: dict[str, bytes] = {}  # ids of a space and the word
+        self.pieces: dict[str, bytes] = {}  # ids of other pieces
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(one.ids, self.type).tobytes() for one in found]
 
+    def _ids(self, piece: str) -> np.ndarray:
+        """The model's ids of a piece, or of several words of letters with a space before each."""
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([token.id for token in self.bpe.tokenize(shown)], self.type)
+
+    def _learn_letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), _TOGETHER):
+            part = words[at:at + _TOGETHER]
+            ids = self._ids(" " + " ".join(part))
+            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in part), np.int64, len(part)))
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            raw, size = ids.tobytes(), self.type.itemsize
+            low = 0
+            for word, high in zip(part, (cuts * size).tolist()):
+                self.known[word] = raw[low:high]
+                low = high
+
+    def _learn(self, words: list[str]) -> None:
+        # a word of letters, perhaps with marks after it, is cut without a pattern
+        cores = [word.rstrip(_MARKS) for word in words]
+        plain = list(map(str.isalpha, cores))
+        mixed = {word: _PIECES.findall(" " + word) for word, p in zip(words, plain) if not p}
+        letters = {core for core, p in zip(cores, plain) if p}
+        letters.update(p[1:] for own in mixed.values() for p in own
+                       if p[0] == " " and p[1:].isalpha())
+        self._learn_letters([word for word in letters if word not in self.known])
+        known, pieces = self.known, self.pieces
+        for word, core, p in zip(words, cores, plain):
+            if p and len(core) < len(word):
+                tail = word[len(core):]
+                if tail not in pieces:
+                    pieces[tail] = self._ids(tail).tobytes()
+                known[word] = known[core] + pieces[tail]
+        for word, own in mixed.items():
+            found = []
+            for piece in own:
+                got = known.get(piece[1:]) if piece[0] == " " and len(piece) > 1 else None
+                if got is None and (got := pieces.get(piece)) is None:
+                    got = pieces[piece] = self._ids(piece).tobytes()
+                found.append(got)
+            known[word] = b"".join(found)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of the encoder's integer type."""
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            if _TIED.search(text):
-                pieces.append(None)
-                continue
-            first, *others = text.split(" ")
-            pieces.append([first, *[" " + piece for piece in others]])
-        if len(self.known) > _KNOWN:
+        if not self.by_word:
+            return self._whole(texts)
+        cut = [None if _TIED.search(t) or t.startswith(" ") else t.split(" ") for t in texts]
+        firsts = [None if own is None else own.pop(0) for own in cut]
+        if len(self.known) + len(self.pieces) > _KNOWN:
             self.known.clear()
-        known = self.known
-        new = list({piece for own in pieces if own for piece in own if piece not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            known.update(zip(part, self._encode(part)))
-        whole = iter(self._encode([t for t, own in zip(texts, pieces) if own is None]))
-        get = known.__getitem__
-        return [next(whole) if own is None else b"".join(map(get, own)) for own in pieces]
+            self.pieces.clear()
+        here = set(chain.from_iterable(own for own in cut if own))
+        self._learn([word for word in here if word not in self.known])
+        get = {word: self.known[word] for word in here}.__getitem__
+        # the first word of a text has no space before it
+        whole = iter(self._whole([t if own is None else first
+                                  for t, first, own in zip(texts, firsts, cut)]))
+        return [next(whole) if own is None else next(whole) + b"".join(map(get, own))
+                for own in cut]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process; it outlives the task."""
+    return Encoder(path)
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
@@ -99,7 +181,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
     picked = short.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
     texts = [row[0] for row in picked.select("text").limit(2 * SAMPLE_ROWS).collect()]
-    samples = Encoder(tokenizer).encode(texts)
+    samples = encoder(tokenizer).encode(texts)
     if len(samples) < 16:
         return b""
     try:
@@ -132,26 +214,26 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shards: int | None = Non
         out.write(dictionary)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        encoder, packer, out = None, _compressor(dictionary), None
+        own, packer, out = None, _compressor(dictionary), None
         ids, starts, sizes, nulls = [], [], [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder, number = Encoder(tokenizer), TaskContext.get().partitionId()
+                own, number = encoder(tokenizer), TaskContext.get().partitionId()
                 name = f"shard-{number:06d}-{uuid.uuid4().hex[:12]}.tok"
                 store, place = opened(folder)
                 out = store.open_output_stream(f"{place}/{name}")
-                out.write(MAGIC + digest + bytes([encoder.type.itemsize]))
+                out.write(MAGIC + digest + bytes([own.type.itemsize]))
                 at = len(MAGIC) + 33
-            end = np.asarray([END_ID], encoder.type).tobytes()
+            end = np.asarray([END_ID], own.type).tobytes()
             for doc_id, raw in zip(batch.column(0).to_pylist(),
-                                   encoder.encode(batch.column(1).to_pylist())):
+                                   own.encode(batch.column(1).to_pylist())):
                 frame = packer.compress(raw + end)
                 nulls += doc_id is None
                 ids.append(doc_id or 0)
                 starts.append(at)
-                sizes.append(len(raw) // encoder.type.itemsize + 1)
+                sizes.append(len(raw) // own.type.itemsize + 1)
                 out.write(frame)
                 at += len(frame)
         if out is None:
