@@ -104,11 +104,18 @@ class Windows:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return at, _hashes(numbers, size)[at]
 
-    def counted(self, numbers: np.ndarray, into: dict[tuple[int, int], int]) -> None:
-        for size, known in self.known.items():
-            _, found = self.present(numbers, size)
-            found = found[np.isin(found, known)] if len(found) else found
-            for value, n in zip(*np.unique(found, return_counts=True)):
+    def counted(self, texts: Iterable[np.ndarray], into: dict[tuple[int, int], int]) -> None:
+        """Adds up the block's shingles in a batch of texts."""
+        found: dict[int, list[np.ndarray]] = {size: [] for size in self.known}
+        for numbers in texts:
+            for size, parts in found.items():
+                parts.append(self.present(numbers, size)[1])
+        for size, parts in found.items():
+            values, known = np.concatenate(parts), self.known[size]
+            if not len(values):
+                continue
+            place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            for value, n in zip(*np.unique(values[known[place] == values], return_counts=True)):
                 into[size, int(value)] = into.get((size, int(value)), 0) + int(n)
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +181,9 @@ def _rarity(docs: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into: dict[tuple[int, int], int] = {}
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                windows.counted(windows.numbers(words(text)), into)
+            if batch.num_rows:
+                windows.counted((windows.numbers(words(text))
+                                 for text in as_bytes(batch.column(0))), into)
         keys = list(into)
         yield pa.RecordBatch.from_pydict({
             "size": pa.array([k[0] for k in keys], pa.int32()),
