@@ -25,6 +25,12 @@ def test_versions_are_cut_before_the_shuffle(spark):
     assert plan.rindex("WindowGroupLimit") > plan.index("Exchange hashpartitioning")
 
 
+def test_registered_latest_is_cut_on_both_sides_of_one_exchange(spark, sf):
+    plan = plan_of(catalog.latest_by_key(spark, sf))
+    assert plan.count("WindowGroupLimit") == 2 and "REPARTITION" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_large_dimension_is_shuffled_not_broadcast(spark, sf):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -143,12 +143,6 @@ def test_lookup_drops_or_keeps_unknown_codes(spark):
     assert {tuple(r) for r in kept.collect()} == {("1", "x", "name"), ("2", "zz", None)}
 
 
-def test_sized_dimension(spark):
-    rows = spark.range(100)
-    assert "LocalTableScan" in lookups.sized(rows, 100)._jdf.queryExecution().toString()
-    assert lookups.sized(rows, 99) is rows
-
-
 def test_latest_version(spark):
     rows = spark.createDataFrame(
         [("a", dt.datetime(2024, 1, 1, 0, 0, 0), 1), ("a", dt.datetime(2024, 1, 1, 0, 0, 0, 5000), 2),

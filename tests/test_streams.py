@@ -125,10 +125,51 @@ def test_user_spu_window_closed_windows(replay, spark, sf, details):
     assert extra == 0 and missing <= 5
 
 
+def in_batches(spark, schema, *batches):
+    """A stream of one file per micro-batch, rows of a file in the order given."""
+    path = work_dir(spark, "batches")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    return (spark.readStream.schema(spark.createDataFrame([], schema).schema)
+            .option("maxFilesPerTrigger", 1).parquet(path))
+
+
+VISIT = "common struct<mid: string>, page struct<last_page_id: string>, ts bigint"
+
+
+def test_bounces_of_rows_out_of_order_over_micro_batches(replay, spark):
+    """An entry at 5.0 s, then in the next micro-batch the page before it at 4.5 s: as in batch the
+    entry stands alone. An inner page within the gap, late but within the delay, undoes a bounce.
+    Rows without a time are no bounce and harm nothing."""
+    rows = [[(("a",), (None,), 5_000), (("b",), (None,), 5_000), (("c",), (None,), None)],
+            [(("a",), ("x",), 4_500), (("b",), ("x",), 6_000), (("c",), ("x",), None)],
+            [(("z",), ("x",), 500_000)], [(("z",), ("x",), 900_000)]]
+    stream = in_batches(spark, VISIT, *rows)
+    found = replay.appended(rules.bounces(stream, 10_000, 600_000))
+    batch = visits.bounces(spark.createDataFrame(sum(rows, []), VISIT), 10_000, 600_000)
+    assert [(r.common.mid, r.ts) for r in batch.collect()] == [("a", 5_000)]
+    assert [(r.common.mid, r.ts) for r in found.collect()] == [("a", 5_000)]
+
+
+def test_rows_without_a_time_do_not_stop_a_rule(replay, spark):
+    schema = "common struct<mid: string, is_new: string>, ts bigint"
+    stream = in_batches(spark, schema, [(("m", "1"), 1_000), (("m", "1"), None)],
+                        [(("m", "1"), None)])
+    assert replay.appended(rules.repair_new_visitors(stream)).count() == 3
+
+
+def test_of_equal_versions_the_later_arrival_is_cut_out(spark):
+    rows = spark.createDataFrame([("a", 1, "early"), ("a", 1, "late"), ("b", 2, "x"), ("b", 1, "y")],
+                                 "id string, v int, note string").coalesce(1)
+    kept = rules.first_of_batch(rows, ["id"], ["v"], descending=True)
+    assert {(r.id, r.note) for r in kept.collect()} == {("a", "late"), ("b", "x")}
+
+
 def test_hold_latest_version(replay, spark):
-    """Two versions in the first micro-batch and an equal one in the second: the newest wins, and
+    """Two versions and an equal one in a micro-batch: the newest wins, and
     of equal versions the later."""
-    first = spark.createDataFrame([("a", 1, "old"), ("a", 3, "new"), ("b", 1, "only")],
+    first = spark.createDataFrame([("a", 1, "old"), ("a", 3, "early"), ("a", 3, "new"), ("b", 1, "only")],
                                   "id string, row_op_ts int, note string")
     path = work_dir(spark, "versions")
     first.coalesce(1).write.mode("append").parquet(path)

@@ -1,8 +1,8 @@
 """Dictionary and dimension joins.
 
 Nothing is hinted: Spark broadcasts a side whose size it has checked and shuffles otherwise.
-Files and local rows have a known size. A relational table has not, and Spark would shuffle the
-facts to join it; `sized` settles that question first.
+Files and local rows have a known size; a relational table has none before it is read, so Spark
+joins it by shuffle and AQE turns that into a broadcast when what it has read is small.
 """
 
 from __future__ import annotations
@@ -12,18 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-SIZED_ROWS = 20_000
-
-
-def sized(dimension: DataFrame, max_rows: int = SIZED_ROWS) -> DataFrame:
-    """The dimension as local rows of known size if it has at most `max_rows`, otherwise as it is.
-    No more than that many rows, plus one, are ever fetched."""
-    rows = dimension.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return dimension
-    return dimension.sparkSession.createDataFrame(rows)
-
-
 def name_of(rows: DataFrame, dictionary: DataFrame, code: str, name: str) -> DataFrame:
     """Add the dictionary name of a code; rows whose code has no entry are lost."""
     entries = dictionary.select(F.col("dic_code").alias("_code"), F.col("dic_name").alias(name))

@@ -87,13 +87,13 @@ def user_period_measures(rows: DataFrame, user: str, day: Column, at: Column, si
 def with_overlap(pages: DataFrame, gap_ms: int, piece_ms: int) -> DataFrame:
     """Cut time into pieces and copy rows from the first `gap_ms` of a piece into the piece
     before, so that each piece sees everything that can follow its own rows within the gap.
-    Adds `_piece` and `_copied`."""
+    Adds `_piece` and `_copied`. Rows without a time follow nothing and are left out."""
     if piece_ms < gap_ms:
         raise ValueError("a piece must be at least as long as the gap")
     piece = F.floor(F.col("ts") / F.lit(piece_ms))
     early = F.col("ts") - piece * F.lit(piece_ms) < gap_ms
     places = F.when(early, F.array(piece, piece - 1)).otherwise(F.array(piece))
-    return (pages.withColumn("_piece", F.explode(places))
+    return (pages.filter(F.col("ts").isNotNull()).withColumn("_piece", F.explode(places))
             .withColumn("_copied", F.col("_piece") != piece))
 
 

@@ -23,26 +23,23 @@ ROUTING_ROWS = [
 ]
 
 
-# per application and path: the schema, and whether a scan has fewer splits than there are cores
-_KNOWN: dict[tuple[str, str], tuple[T.StructType, bool]] = {}
+# per application and path: the schema
+_KNOWN: dict[tuple[str, str], T.StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
-    """A test table, whole or as a stream of its files. A scan with fewer splits than the cluster has cores is dealt out by its first
-    column, so that a small file does not keep all work on one core; a large table has far more
-    splits than cores and is left alone."""
+    """A test table, whole or as a stream of its files. The session is configured once, when its
+    first table is read; settings changed later stay."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    cores = spark.sparkContext.defaultParallelism
-    place = (spark.sparkContext.applicationId, path)
-    if place not in _KNOWN:
-        rows = configure(spark).read.parquet(path)
-        _KNOWN[place] = rows.schema, rows.rdd.getNumPartitions() < cores
-    schema, narrow = _KNOWN[place]
-    session = configure(spark)
+    application = spark.sparkContext.applicationId
+    if not any(known == application for known, _ in _KNOWN):
+        configure(spark)
+    if (application, path) not in _KNOWN:
+        _KNOWN[application, path] = spark.read.parquet(path).schema
+    schema = _KNOWN[application, path]
     # a stream source takes a single file only as the match of a pattern
-    rows = (session.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]") if stream
-            else session.read.schema(schema).parquet(path))
-    return rows.repartition(cores, schema.names[0]) if narrow else rows
+    return (spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]") if stream
+            else spark.read.schema(schema).parquet(path))
 
 
 def _text(value: Column) -> Column:

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from tidemart.operators.lookups import sized
 from tidemart.operators.logs import parse_text
 from tidemart.operators.visits import BOUNCE_GAP_MS, RETURN_DAYS
 from tidemart.operators.windows import SIZE
@@ -37,6 +36,7 @@ class Mart:
     root: str
     kafka: str | None = None
     files_per_trigger: int | None = None
+    offsets_per_trigger: int | None = None
     size: str = SIZE
     gap_ms: int = BOUNCE_GAP_MS
     return_days: int = RETURN_DAYS
@@ -46,7 +46,9 @@ class Mart:
 
     def feed(self, name: str) -> DataFrame:
         if self.kafka:
-            return feeds.topic_text(self.spark, self.kafka, name)
+            limit = ({"maxOffsetsPerTrigger": str(self.offsets_per_trigger)}
+                     if self.offsets_per_trigger else None)
+            return feeds.topic_text(self.spark, self.kafka, name, options=limit)
         return feeds.folder_text(self.spark, f"{self.root}/feed/{name}", stream=True,
                                  files_per_trigger=self.files_per_trigger)
 
@@ -59,8 +61,8 @@ class Mart:
         return rows.drop("batch")
 
     def dictionary(self) -> DataFrame:
-        return sized(feeds.dictionary(self.spark, f"{self.root}/dim/dictionary")
-                     .select("dic_code", "dic_name"))
+        return feeds.dictionary(self.spark, f"{self.root}/dim/dictionary").select(
+            "dic_code", "dic_name")
 
     def routing(self) -> DataFrame:
         return feeds.routing(self.spark, f"{self.root}/dim/routing")
@@ -303,8 +305,11 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("--every", help="trigger interval, such as '5 seconds'")
     parser.add_argument("--time-zone", default="UTC")
     parser.add_argument("--window", default=SIZE)
+    parser.add_argument("--max-files", type=int, help="files of a micro-batch at most")
+    parser.add_argument("--max-offsets", type=int, help="messages of a micro-batch at most")
     chosen = parser.parse_args(arguments)
     mart = Mart(build(time_zone=chosen.time_zone), chosen.root.rstrip("/"), chosen.kafka,
+                files_per_trigger=chosen.max_files, offsets_per_trigger=chosen.max_offsets,
                 size=chosen.window)
     run(mart, chosen.job, chosen.every).awaitTermination()
 

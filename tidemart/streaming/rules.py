@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,12 +32,21 @@ _DAY = T.StructType([T.StructField("day", T.DateType())])
 def first_of_batch(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
                    descending: bool = False) -> DataFrame:
     """Keep the first row per key of every Arrow batch: a combine step ahead of the shuffle, not a
-    full deduplication. `keys` and `order` are top-level columns."""
+    full deduplication. `keys` and `order` are top-level columns. Descending, the last row of equal
+    ones is kept, and `_arrival` tells the places of rows within their micro-batch."""
     direction = "descending" if descending else "ascending"
     by = [(name, "ascending") for name in keys] + [(name, direction) for name in order]
+    schema = _plus(rows.schema, "_arrival", T.LongType()) if descending else rows.schema
+    if descending:
+        by.append(("_arrival", direction))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = TaskContext.get().partitionId() << 40
         for batch in batches:
+            if descending:
+                places = pa.array(range(seen, seen + batch.num_rows), pa.int64())
+                seen += batch.num_rows
+                batch = batch.append_column("_arrival", places)
             if batch.num_rows < 2:
                 yield batch
                 continue
@@ -52,7 +61,14 @@ def first_of_batch(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
                 fresh = other if fresh is None else pc.or_(fresh, other)
             yield ordered.filter(pa.concat_arrays([pa.array([True]), fresh]))
 
-    return rows.mapInArrow(cut, rows.schema)
+    return rows.mapInArrow(cut, schema)
+
+
+def _plain(value):
+    """A value as the state store takes it: nested rows as dictionaries."""
+    if isinstance(value, Row):
+        return value.asDict(recursive=True)
+    return [_plain(one) for one in value] if isinstance(value, list) else value
 
 
 class _Rule(StatefulProcessor):
@@ -70,7 +86,9 @@ class _Rule(StatefulProcessor):
         self.state = handle.getValueState("state", self.state_schema)
 
     def sorted(self, rows: Iterator[Row]) -> list[Row]:
-        return sorted(rows, key=lambda row: tuple(row[name] for name in self.order))
+        """Nulls first, as a batch sort has them."""
+        return sorted(rows, key=lambda row: tuple((row[name] is not None, row[name])
+                                                  for name in self.order))
 
     def close(self) -> None:
         pass
@@ -118,14 +136,15 @@ class DayMarks(_Rule):
 
 class HoldLatest(_Rule):
     """Holds a key's newest row for a while after its first one, then passes it and forgets the
-    key. Of equal versions the later arrival wins."""
+    key. Of equal versions the later arrival wins: a later micro-batch, and within one the row
+    with the larger `_arrival`."""
 
     def __init__(self, order: Sequence[str], schema: T.StructType, hold_ms: int):
         super().__init__(order, schema)
         self.state_schema, self.hold_ms = schema, hold_ms
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = self.sorted(rows)[-1]
+        newest = max(rows, key=lambda row: (self._version(row), row["_arrival"]))
         held = self.state.get()
         if held is None:
             now = timerValues.getCurrentProcessingTimeInMs()
@@ -144,39 +163,52 @@ class HoldLatest(_Rule):
             yield self.make(*held)
 
     def _version(self, row: Row) -> tuple:
-        return tuple(row[name] for name in self.order)
+        return tuple((row[name] is not None, row[name]) for name in self.order)
 
 
 class EntryAlone(_Rule):
     """Passes an entry page when the visitor's next page is another entry page or comes only after
-    the gap; a timer passes it when nothing has come by then."""
+    the gap. Rows wait until the watermark has passed them and are then judged in order of time, so
+    rows that come out of order within the delay change nothing; an entry page passes once nothing
+    can come any more within its gap."""
 
     def __init__(self, order: Sequence[str], schema: T.StructType, gap_ms: int):
         super().__init__(order, schema)
         self.state_schema, self.gap_ms = schema, gap_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.state_schema)
+
     def handleInputRows(self, key, rows, timerValues):
-        held = self.state.get()
-        held = self.make(*held) if held else None
-        for row in self.sorted(rows):
-            if held is not None:
-                self.handle.deleteTimer(held["ts"] + self.gap_ms)
-                if row["_entry"] or row["ts"] - held["ts"] >= self.gap_ms:
-                    yield self.make(*held)
-                held = None
-            if row["_entry"] and not row["_copied"]:
-                held = row
-        if held is None:
-            self.state.clear()
-        else:
-            self.state.update(tuple(held))
-            self.handle.registerTimer(held["ts"] + self.gap_ms)
+        rows = list(rows)
+        self.waiting.appendList([tuple(map(_plain, row)) for row in rows])
+        self.handle.registerTimer(min(row["ts"] for row in rows) + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held = self.state.get()
-        self.state.clear()
-        if held is not None:
-            yield self.make(*held)
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = self.sorted(self.make(*row) for row in self.waiting.get())
+        kept = [row for row in rows if row["ts"] >= passed]
+        held = None
+        for row in rows:
+            if row["ts"] >= passed:
+                continue
+            if held is not None and (row["_entry"] or row["ts"] - held["ts"] >= self.gap_ms):
+                yield held
+            held = row if row["_entry"] and not row["_copied"] else None
+        timers = [min(row["ts"] for row in kept) + 1] if kept else []
+        if held is not None and held["ts"] + self.gap_ms <= passed:
+            yield held
+        elif held is not None:
+            kept.append(held)
+            timers.append(held["ts"] + self.gap_ms)
+        if kept:
+            self.waiting.put([tuple(map(_plain, row)) for row in kept])
+        else:
+            self.waiting.clear()
+        for at in timers:
+            self.handle.registerTimer(at)
 
 
 def _apply(rows: DataFrame, keys: Sequence[str], rule: _Rule, schema: T.StructType, *,
@@ -254,7 +286,7 @@ def settled(details: DataFrame, key: str = "id", version: Sequence[str] = ("row_
     The result has no watermark: write it to a table and start the next job from there."""
     cut = first_of_batch(details, [key], version, descending=True)
     return _apply(cut, [key], HoldLatest(version, cut.schema, hold_ms), cut.schema,
-                  time_mode="ProcessingTime")
+                  time_mode="ProcessingTime").drop("_arrival")
 
 
 def bounces(pages: DataFrame, gap_ms: int = BOUNCE_GAP_MS, piece_ms: int | None = None,

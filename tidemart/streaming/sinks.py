@@ -119,10 +119,12 @@ def to_log_streams(log: DataFrame, path: str) -> DataStreamWriter:
 def to_dimensions(log: DataFrame, path: str, config: Callable[[], DataFrame],
                   version: Sequence[str] = ("ts",)) -> DataStreamWriter:
     """Load dimensions: each micro-batch reads the routing config as it is now and writes the
-    newest images of every target. `dimension` reads a target."""
+    newest images of every target. Versions are numbers, though the log has them as text.
+    `dimension` reads a target."""
     def write(batch: DataFrame, number: int) -> None:
         routing = config()
-        routed = dimensions.route(batch, routing, dimensions.source_tables(routing))
+        routed = dimensions.route(batch, routing, dimensions.source_tables(routing)).withColumns(
+            {name: F.col(name).cast("bigint") for name in version})
         routed.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             images = dimensions.current_images(routed, tuple(version))
@@ -152,6 +154,6 @@ def create_targets(spark: SparkSession, path: str, config: DataFrame) -> None:
     for row in config.select(*ROUTING.names).collect():
         schema = dimensions.target_schema(row)
         empty = spark.createDataFrame([], schema).select(
-            F.lit("").alias("pk"), F.lit("").alias("ts"),
+            F.lit("").alias("pk"), F.lit(0).cast("bigint").alias("ts"),
             *(F.col(name).alias(f"c_{name}") for name in schema.names))
         empty.write.mode("ignore").parquet(f"{path}/{row['sink_table']}/batch=-1")
