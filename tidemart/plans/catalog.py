@@ -352,6 +352,33 @@ def _taken(rows: DataFrame, name: str, keys: Sequence[str] = (), mode: str = "up
     return sinks.current(spark, path, keys) if keys else spark.read.schema(schema).parquet(path)
 
 
+def _replayed(rows: DataFrame, name: str, closing: DataFrame, parts: int = 4) -> DataFrame:
+    """The rows as a stream of several micro-batches in order of time, each one file, and last the
+    closing rows, which only move the watermark on."""
+    path = work_dir(rows.sparkSession, name)
+    cuts = rows.approxQuantile("ts", [k / parts for k in range(1, parts)], 0.01)
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + (F.col("ts") > cut).cast("int")
+    for number in range(parts):
+        rows.filter(part == number).coalesce(1).write.mode("append").parquet(path)
+    closing.coalesce(1).write.mode("append").parquet(path)
+    return (rows.sparkSession.readStream.schema(rows.schema)
+            .option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def stream_bounce_detail(spark: SparkSession, sf: str) -> DataFrame:
+    pages = standin.pages(spark, sf)
+    # a page of nobody that is no entry, long after all others
+    last = pages.agg(F.max("ts")).first()[0]
+    closing = pages.limit(1).select(
+        F.col("common").withField("mid", F.lit("closing")).alias("common"),
+        F.col("page").withField("last_page_id", F.lit("closing")).alias("page"),
+        F.lit((last or 0) + 4 * GAP_MS).alias("ts"), "event_id")
+    rows = rules.bounces(_replayed(pages, "pages", closing), GAP_MS, PIECE_MS, TIE)
+    return _taken(rows.select("event_id", "common.*", "page.*", "ts"), "bounces")
+
+
 def stream_new_visitor_repair(spark: SparkSession, sf: str) -> DataFrame:
     fixed = rules.repair_new_visitors(standin.behaviour(spark, sf, stream=True), TIE)
     return _taken(fixed.select("event_id", F.col("common.mid").alias("mid"),
@@ -421,6 +448,6 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     order_window, payment_window, province_window, user_spu_window, brand_refund_window,
     dim_route, dim_latest, dim_unrouted, latest_by_key, upsert_by_key, changelog_count,
     left_lookup, two_key_lookup, click_filter_count, stream_new_visitor_repair,
-    stream_unique_visitor_daily, stream_login_days, stream_page_visitors, stream_keyword_window,
+    stream_bounce_detail, stream_unique_visitor_daily, stream_login_days, stream_page_visitors, stream_keyword_window,
     stream_register_window, stream_traffic_window, stream_cart_delta, stream_refund_detail,
     stream_changelog_count)}

@@ -483,7 +483,7 @@ FROM log WHERE ch = 'click' GROUP BY ALL"""),
 
 # Streams end with the rows of their batch form.
 ORACLE.update({f"stream_{name}": ORACLE[name] for name in (
-    "new_visitor_repair", "unique_visitor_daily", "keyword_window", "register_window",
+    "bounce_detail", "new_visitor_repair", "unique_visitor_daily", "keyword_window", "register_window",
     "traffic_window", "cart_delta", "refund_detail", "changelog_count")})
 ORACLE["stream_login_days"] = _log("""
 SELECT uid AS user_id, ts, CAST(1 AS BIGINT) AS uu_ct,
