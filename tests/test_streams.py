@@ -166,6 +166,31 @@ def test_of_equal_versions_the_later_arrival_is_cut_out(spark):
     assert {(r.id, r.note) for r in kept.collect()} == {("a", "late"), ("b", "x")}
 
 
+def test_names_added_while_a_query_runs_are_seen(spark):
+    out, dim, source = (work_dir(spark, n) for n in ("out", "provinces", "counts"))
+    kind = "stt string, edt string, province_id string, order_count bigint, order_amount double"
+    name = lambda *rows: spark.createDataFrame(list(rows), "id string, name string").write.mode(
+        "append").parquet(dim)
+    put = lambda *row: spark.createDataFrame([row], kind).coalesce(1).write.mode(
+        "append").parquet(source)
+    name(("1", "North"))
+    put("a", "b", "1", 1, 1.0)
+    stream = spark.readStream.schema(spark.createDataFrame([], kind).schema).parquet(source)
+    writer = sinks.to_upserts(stream, out, ["stt", "province_id"], mode="append",
+                              finish=lambda batch: summaries.province_names(
+                                  batch, spark.read.parquet(dim)))
+    query = sinks.start(writer, work_dir(spark, "ck"), every="200 milliseconds")
+    try:
+        query.processAllAvailable()
+        name(("2", "South"))
+        put("a", "b", "2", 1, 1.0)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    found = sinks.current(spark, out, ["stt", "province_id"]).collect()
+    assert {(r.province_id, r.province_name) for r in found} == {("1", "North"), ("2", "South")}
+
+
 def test_hold_latest_version(replay, spark):
     """Two versions and an equal one in a micro-batch: the newest wins, and
     of equal versions the later."""

@@ -101,26 +101,35 @@ def payment_window(settled: DataFrame, size: str = SIZE) -> DataFrame:
                     {"unique_users": F.sum("unique"), "new_users": F.sum("new")}, size)
 
 
-def province_window(settled: DataFrame, provinces: DataFrame, size: str = SIZE) -> DataFrame:
+def province_counts(settled: DataFrame, size: str = SIZE) -> DataFrame:
     rows = timed_by_seconds(summaries.complete(settled))
-    counted = bounds(orders_and_amount(rows, F.col(AT), ["province_id"], "order_id",
-                                       money(F.col("split_total_amount")), size))
-    return summaries.province_names(counted, provinces)
+    return bounds(orders_and_amount(rows, F.col(AT), ["province_id"], "order_id",
+                                    money(F.col("split_total_amount")), size))
 
 
-def user_spu_window(settled: DataFrame, dims: dict[str, DataFrame], size: str = SIZE) -> DataFrame:
-    rows = enrich(timed_by_seconds(summaries.complete(settled)), dims["sku"], {"sku_id": "id"},
+def province_window(settled: DataFrame, provinces: DataFrame, size: str = SIZE) -> DataFrame:
+    return summaries.province_names(province_counts(settled, size), provinces)
+
+
+def user_spu_counts(settled: DataFrame, sku: DataFrame, size: str = SIZE) -> DataFrame:
+    rows = enrich(timed_by_seconds(summaries.complete(settled)), sku, {"sku_id": "id"},
                   {"trademark_id": "tm_id", "category3_id": "category3_id", "spu_id": "spu_id"})
-    counted = bounds(orders_and_amount(
+    return bounds(orders_and_amount(
         rows, F.col(AT), ["trademark_id", "category3_id", "user_id", "spu_id"], "order_id",
         money(F.col("split_total_amount")), size))
-    return summaries.user_spu_names(counted, dims)
+
+
+def user_spu_window(settled: DataFrame, dims: dict[str, DataFrame], size: str = SIZE) -> DataFrame:
+    return summaries.user_spu_names(user_spu_counts(settled, dims["sku"], size), dims)
+
+
+def brand_refund_counts(refunds: DataFrame, sku: DataFrame, size: str = SIZE) -> DataFrame:
+    rows = enrich(timed_by_seconds(refunds), sku, {"sku_id": "id"},
+                  {"trademark_id": "tm_id", "category3_id": "category3_id"})
+    return bounds(orders_and_amount(rows, F.col(AT), ["trademark_id", "category3_id", "user_id"],
+                                    "order_id", size=size, count_name="refund_count"))
 
 
 def brand_refund_window(refunds: DataFrame, dims: dict[str, DataFrame], size: str = SIZE,
                         ) -> DataFrame:
-    rows = enrich(timed_by_seconds(refunds), dims["sku"], {"sku_id": "id"},
-                  {"trademark_id": "tm_id", "category3_id": "category3_id"})
-    counted = bounds(orders_and_amount(rows, F.col(AT), ["trademark_id", "category3_id", "user_id"],
-                                       "order_id", size=size, count_name="refund_count"))
-    return summaries.brand_names(counted, dims)
+    return summaries.brand_names(brand_refund_counts(refunds, dims["sku"], size), dims)

@@ -22,7 +22,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from tidemart.operators.logs import parse_text
 from tidemart.operators.visits import BOUNCE_GAP_MS, RETURN_DAYS
 from tidemart.operators.windows import SIZE
-from tidemart.plans import facts
+from tidemart.plans import facts, summaries
 from tidemart.session import build
 from tidemart.sources import feeds
 from tidemart.streaming import jobs, rules, sinks
@@ -80,8 +80,10 @@ class Mart:
         return sinks.to_files(rows, f"{self.root}/fact/{name}")
 
     def to_summary(self, rows: DataFrame, name: str, keys: Sequence[str] = (),
-                   mode: str = "append") -> DataStreamWriter:
-        return sinks.to_upserts(rows, f"{self.root}/summary/{name}", ["stt", *keys], mode=mode)
+                   mode: str = "append",
+                   finish: Callable[[DataFrame], DataFrame] | None = None) -> DataStreamWriter:
+        return sinks.to_upserts(rows, f"{self.root}/summary/{name}", ["stt", *keys], mode=mode,
+                                finish=finish)
 
     def summary(self, name: str, keys: Sequence[str] = ()) -> DataFrame:
         return sinks.current(self.spark, f"{self.root}/summary/{name}", ["stt", *keys])
@@ -275,11 +277,13 @@ def payment_window(mart: Mart) -> DataStreamWriter:
     return mart.to_summary(jobs.payment_window(mart.fact("payment_settled"), mart.size), "payment")
 
 
+# Names are looked up per micro-batch, after the aggregation, in the dimensions as they are then.
+
 @job
 def province_window(mart: Mart) -> DataStreamWriter:
-    rows = jobs.province_window(mart.fact("order_settled"), mart.dimension("base_province"),
-                                mart.size)
-    return mart.to_summary(rows, "province", ["province_id"])
+    rows = jobs.province_counts(mart.fact("order_settled"), mart.size)
+    return mart.to_summary(rows, "province", ["province_id"], finish=lambda batch:
+                           summaries.province_names(batch, mart.dimension("base_province")))
 
 
 BRAND_KEYS = ("trademark_id", "category3_id", "user_id")
@@ -287,14 +291,17 @@ BRAND_KEYS = ("trademark_id", "category3_id", "user_id")
 
 @job
 def user_spu_window(mart: Mart) -> DataStreamWriter:
-    rows = jobs.user_spu_window(mart.fact("order_settled"), mart.products(), mart.size)
-    return mart.to_summary(rows, "user_spu", [*BRAND_KEYS, "spu_id"])
+    rows = jobs.user_spu_counts(mart.fact("order_settled"), mart.dimension("sku_info"), mart.size)
+    return mart.to_summary(rows, "user_spu", [*BRAND_KEYS, "spu_id"], finish=lambda batch:
+                           summaries.user_spu_names(batch, mart.products()))
 
 
 @job
 def brand_refund_window(mart: Mart) -> DataStreamWriter:
-    rows = jobs.brand_refund_window(mart.fact("refund_request"), mart.products(), mart.size)
-    return mart.to_summary(rows, "brand_refund", BRAND_KEYS)
+    rows = jobs.brand_refund_counts(mart.fact("refund_request"), mart.dimension("sku_info"),
+                                    mart.size)
+    return mart.to_summary(rows, "brand_refund", BRAND_KEYS, finish=lambda batch:
+                           summaries.brand_names(batch, mart.products()))
 
 
 def main(arguments: Sequence[str] | None = None) -> None:

@@ -45,9 +45,13 @@ def to_console(rows: DataFrame, mode: str = "append") -> DataStreamWriter:
 
 
 def to_upserts(rows: DataFrame, path: str, keys: Sequence[str], version: Sequence[str] = (),
-               mode: str = "update") -> DataStreamWriter:
+               mode: str = "update",
+               finish: Callable[[DataFrame], DataFrame] | None = None) -> DataStreamWriter:
     """Keep the newest row per key by appending.
 
+    `finish` is applied to each micro-batch: what it reads, such as dimensions for names, it reads
+    as it is at that time, not as it was when the query started.
+
     Each micro-batch writes its own newest rows to a folder named after the batch, so the cost is
     that of the batch, whatever the size of the target, and a repeated batch replaces what its
     first attempt left. `current` reads the target.
@@ -55,7 +59,8 @@ def to_upserts(rows: DataFrame, path: str, keys: Sequence[str], version: Sequenc
     def write(batch: DataFrame, number: int) -> None:
         order = list(version)
         newest = latest_per_key(batch, list(keys), order) if order else batch
-        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        (finish(newest) if finish else newest).write.mode("overwrite").parquet(
+            f"{path}/batch={number}")
 
     return rows.writeStream.outputMode(mode).foreachBatch(write)
 
