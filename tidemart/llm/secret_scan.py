@@ -26,8 +26,7 @@ from tidemart.llm.common import let
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 ASSIGN = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
           r"([A-Za-z0-9+/_.=-]+)")
-ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
+ACCESS, HEX = "[A-Z0-9]", "[0-9a-f]"  # an access key starts with AKIA
 ASSIGN_VALUE, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 
 WINDOW = 20
@@ -89,8 +88,8 @@ def base_spans(text: Column) -> Column:
     assign = F.filter(_found(text, ASSIGN, match), lambda m: F.length(
         F.regexp_extract(m["value"], ASSIGN, 1)) >= ASSIGN_VALUE)
     # a shorter run is dropped either way, so these are found with their length at once
-    access = _found(text, f"AKIA[A-Z0-9]{{{ACCESS_CHARS - 4},}}", match)
-    long_hex = _found(text, f"[0-9a-f]{{{HEX_CHARS},}}", match)
+    access = _found(text, f"AKIA{ACCESS}{{{ACCESS_CHARS - 4},}}", match)
+    long_hex = _found(text, f"{HEX}{{{HEX_CHARS},}}", match)
     return F.concat(*[_spans(m, k) for k, m in enumerate((assign, access, long_hex))])
 
 
