@@ -256,6 +256,18 @@ def test_large_groups_are_cut(spark, monkeypatch):
     assert {r.node for r in found} == set(codes) and {r.root for r in found} == {0}
 
 
+def test_groups_find_every_link(spark):
+    rng = np.random.default_rng(8)
+    pairs = []
+    for base in rng.integers(0, 2 ** 64, 3000, dtype=np.uint64):
+        bits = rng.choice(64, 4, replace=False).astype(np.uint64)
+        pairs.append((base, base ^ np.bitwise_or.reduce(np.uint64(1) << bits)))
+    codes = np.array(pairs).view(np.int64)
+    table = spark.createDataFrame([(c,) for c in codes.ravel().tolist()], "code long")
+    found = {r.node: r.root for r in components(simhash.near_links(table)).collect()}
+    assert all(found[a] == found[b] == min(a, b) for a, b in codes.tolist())
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = components(edges.union(spark.createDataFrame([(500, 400), (7, 7)], "a long, b long")))

@@ -1,7 +1,8 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints within `most` bits agree in at least one of most + 1 blocks of their bits. So each
-distinct fingerprint goes, once per block, to the group of its block value. Within a task groups
+Fingerprints within `most` bits agree in at least two of most + 2 blocks of their bits. So each
+distinct fingerprint goes, once per two blocks, to the group of their values; at four bits that is 15
+groups of about 21 bits each, so groups stay small up to billions of fingerprints. Within a task groups
 are sorted by Gray rank, which puts fingerprints with shared leading bits side by side. The index
 factors the bits that all members of a run share into the node above it (a mask and a pattern). A
 search adds up the differences that each level newly fixes, and drops whole groups once they exceed
@@ -19,6 +20,7 @@ component_id. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,10 +34,12 @@ from tidemart.llm.components import components
 SHINGLE_WORDS = 4
 SEED = 42
 MOST_BITS = 4
+#: Blocks that a group agrees in. More make smaller groups, and more of them.
+AGREE = 2
 #: Fingerprints of a group that meet in one task at once; larger groups are cut.
 CHUNK = 32_768
 #: Small groups share an index of about so many.
-BATCH = 2048
+BATCH = 256
 #: Children of an index node.
 FANOUT = 16
 #: (searcher, node) pairs held at once.
@@ -187,10 +191,20 @@ def links(codes: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndar
 def near_links(codes: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """Links (a, b) of a spanning forest of the distinct fingerprints `code`: any two within
     `most` bits are connected by them, and no others."""
-    blocks = most + 1
+    blocks = most + AGREE
     edge = [64 * i // blocks for i in range(blocks + 1)]
-    value = [F.shiftrightunsigned(F.col("code"), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-             for low, high in zip(edge, edge[1:])]
+
+    def bits(block: int) -> Column:
+        width = edge[block + 1] - edge[block]
+        return F.shiftrightunsigned(F.col("code"), edge[block]).bitwiseAND(F.lit((1 << width) - 1))
+
+    def together(chosen: tuple[int, ...]) -> Column:
+        value = bits(chosen[0])
+        for block in chosen[1:]:
+            value = F.shiftleft(value, edge[block + 1] - edge[block]).bitwiseOR(bits(block))
+        return value
+
+    value = [together(chosen) for chosen in combinations(range(blocks), AGREE)]
     placed = codes.select("code", F.posexplode(F.array(*value)).alias("block", "value"))
     large = (placed.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK)
              .withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")))
@@ -212,19 +226,20 @@ def near_links(codes: DataFrame, most: int = MOST_BITS) -> DataFrame:
             return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
         for frame in frames:
+            if frame.empty:
+                continue
             code = frame["code"].to_numpy()
             group = frame[key].to_numpy()
-            n += len(code)
+            begins = np.append(bool(held) and (group[0] != last).any(),
+                               (group[1:] != group[:-1]).any(axis=1))
+            last, at = group[-1], 0
             # whole groups only; small ones share an index
-            ends = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
-            if held and (group[0] != last).any():
-                ends = np.append(0, ends)
-            last = group[-1]
-            if n >= BATCH and len(ends):
-                yield done([*held, code[:ends[-1]]])
-                held, n = [], len(code) - ends[-1]
-                code = code[ends[-1]:]
-            held.append(code)
+            for begin in np.flatnonzero(begins).tolist():
+                if n + begin - at >= BATCH:
+                    yield done([*held, code[at:begin]])
+                    held, n, at = [], 0, begin
+            held.append(code[at:])
+            n += len(code) - at
         if held:
             yield done(held)
 
