@@ -218,7 +218,7 @@ def near_links(codes: DataFrame, most: int = MOST_BITS) -> DataFrame:
     key = ["block", "value", "pair"]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
+        held, n, last = [], 0, None
 
         def done(parts):
             found = np.unique(np.concatenate(parts).view(np.uint64))
@@ -230,9 +230,12 @@ def near_links(codes: DataFrame, most: int = MOST_BITS) -> DataFrame:
                 continue
             code = frame["code"].to_numpy()
             group = frame[key].to_numpy()
-            begins = np.append(bool(held) and (group[0] != last).any(),
+            begins = np.append(last is None or (group[0] != last).any(),
                                (group[1:] != group[:-1]).any(axis=1))
             last, at = group[-1], 0
+            # one that is alone in its group has no partner there
+            meets = ~(begins & np.append(begins[1:], False))
+            code, begins = code[meets], begins[meets]
             # whole groups only; small ones share an index
             for begin in np.flatnonzero(begins).tolist():
                 if n + begin - at >= BATCH:
