@@ -12,7 +12,7 @@ from tidemart.functions.words import words
 from tidemart.operators import changes, dimensions, logs, lookups, versions, visits, windows
 from tidemart.plans import facts, summaries
 from tidemart.session import work_dir
-from tidemart.sources import standin
+from tidemart.sources import feeds, standin
 from tidemart.streaming import jobs, rules, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +204,14 @@ def coupon_order(spark: SparkSession, sf: str) -> DataFrame:
     return facts.coupon_order(standin.table_changes(spark, sf, "coupon_use"))
 
 
+def change_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Coupons used, from a change feed of two tables that arrives as JSON text."""
+    feed = standin.as_one_log(standin.table_changes(spark, sf, "coupon_use", "cart_info"))
+    fields = [name for name in S.ENVELOPE.names if name in feed.columns]
+    text = feed.select(F.to_json(F.struct(*fields)).alias("value"))
+    return facts.coupon_order(feeds.change_log(text))
+
+
 def coupon_pay(spark: SparkSession, sf: str) -> DataFrame:
     return facts.coupon_pay(standin.table_changes(spark, sf, "coupon_use"))
 
@@ -444,7 +452,7 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     traffic_window, home_detail_uv_window, login_back_window, login_back_window_default,
     register_window, cart_unique_window, cdc_extract, status_change, cart_delta, order_wide,
     order_detail, order_cancel, payment_detail, refund_detail, refund_paid, coupon_get,
-    coupon_order, coupon_pay, favor_add, comment_dic, comment_unnamed, user_register,
+    coupon_order, change_text, coupon_pay, favor_add, comment_dic, comment_unnamed, user_register,
     order_window, payment_window, province_window, user_spu_window, brand_refund_window,
     dim_route, dim_latest, dim_unrouted, latest_by_key, upsert_by_key, changelog_count,
     left_lookup, two_key_lookup, click_filter_count, stream_new_visitor_repair,

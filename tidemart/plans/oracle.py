@@ -494,3 +494,6 @@ WHERE last_day IS NULL OR last_day <> day""")
 ORACLE["stream_page_visitors"] = _log("""
 SELECT mid, page_id, min(ts) AS ts
 FROM page WHERE page_id IN ('home', 'good_detail') GROUP BY mid, page_id, day""")
+
+# The same rows, however the feed arrives.
+ORACLE["change_text"] = ORACLE["coupon_order"]
