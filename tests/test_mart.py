@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import only_in
+from helpers import only_in
 from tidemart import schemas as S
 from tidemart.operators import logs, visits
 from tidemart.plans import summaries

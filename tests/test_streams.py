@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import only_in
+from helpers import only_in
 from tidemart.operators import changes, logs, versions, visits, windows
 from tidemart.plans import catalog, facts, summaries
 from tidemart.session import work_dir
