@@ -190,17 +190,30 @@ def test_repeated_rows_at_the_cut(spark):
     assert max(r.taken for r in found) <= 6
 
 
-def test_encoder_cuts_text_as_the_library_does():
+@pytest.mark.parametrize("plain_specials", [False, True])
+def test_encoder_cuts_text_as_the_library_does(plain_specials):
     model = Tokenizer.from_file(TOKENIZER)
-    model.encode_special_tokens = True
-    own, rng = token_files.encoder(TOKENIZER), random.Random(3)
-    pieces = [" ", "  ", "\n", "\t", "a", "don't", "'s", " 's", ".", "!!", "é", " ", " ",
-              "<|endoftext|>", "\x1c", "\x85", "12", "的", "\U0001f600", "\r\n", " ", "--x"]
-    assert own.by_word
+    model.encode_special_tokens = plain_specials
+    own, rng = token_files.Encoder(TOKENIZER, plain_specials), random.Random(3)
+    pieces = [" ", "  ", "\n", "\t", "a", "don't", "'s", " 's", ".", "!!", "é", "\xa0", " \xa0 ",
+              "<|endoftext|>", "\x1c", "\x85", "12", "的", "\U0001f600", "\r\n", " ", "--x",
+              "a1b2", "†", "†† ", "x†", "à 1†"]
+    assert own.by_word and 10 in own.beside
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
-    for text, raw in zip(texts, own.encode(texts)):
-        assert np.frombuffer(raw, own.type).tolist() == model.encode(
-            text, add_special_tokens=False).ids, repr(text)
+    for lead in ("", " "):
+        for text, raw in zip(texts, own.encode(texts, spaced=bool(lead))):
+            assert np.frombuffer(raw, own.type).tolist() == model.encode(
+                lead + text, add_special_tokens=False).ids, repr(lead + text)
+
+
+@pytest.mark.parametrize("texts", [["", None], ["a"], ["a b c"] * 40, ["x"] * 3])
+def test_dictionary_on_any_rows(spark, texts):
+    folder = work_dir(spark, "tokens")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manifest = token_files.write(rows, TOKENIZER, folder)
+    name = manifest.first().file
+    assert len(token_files.Shard(folder, name).dictionary) >= 8
+    assert token_files.read(manifest, folder).count() == len(texts)
 
 
 def test_shard_access(spark, docs):

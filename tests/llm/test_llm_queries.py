@@ -108,7 +108,6 @@ def test_mixing(spark, sf, texts, engine):
 
 def test_tokens(spark, sf, texts):
     model = Tokenizer.from_file(TOKENIZER)
-    model.encode_special_tokens = True
     start = 0
     for row in QUERIES["op5_token_files"](spark, sf).orderBy("doc_id").collect():
         ids = [*model.encode(texts[row.doc_id], add_special_tokens=False).ids, 0]

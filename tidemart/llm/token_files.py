@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from tidemart.llm.common import opened, small_batches, written
 from tidemart.session import work_dir
@@ -44,6 +44,10 @@ FOOTER_BYTES = struct.calcsize(FOOTER)
 END_ID = 0
 #: The dictionary is trained on whole documents of at most so many characters, about so many.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 20_000, 65_536
+#: Samples that training takes at least.
+_LEAST = 16
+#: Text bytes of a shard, about; there are as many shards as shuffle partitions at least.
+SHARD_BYTES = 128 << 20
 LEVEL = 3
 MANIFEST = "shard long, file string, n_docs long, n_nulls long, n_tokens long, n_bytes long"
 
@@ -55,7 +59,7 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: Marks that form one piece after a word.
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Words a worker remembers; beyond that it starts anew.
-_KNOWN = 300_000
+_KNOWN = 500_000
 #: Words that go to the model at once.
 _TOGETHER = 256
 
@@ -74,27 +78,38 @@ class Encoder:
     Texts mostly consist of single-spaced words, and a byte-level vocabulary never joins a word to
     the space after it. So a text can be cut before single spaces, each word that recurs is encoded
     once, and words of letters go to the library's model many at a time. Where that doesn't hold (a
-    space between other white space, another kind of vocabulary) texts are encoded in one go.
+    space between other white space, an added token in the text, another kind of vocabulary) texts
+    are encoded in one go. With `plain_specials` the strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = plain_specials
+        #: strings that become one id wherever they stand
+        self.added = [token.content for token in self.model.get_added_tokens_decoder().values()
+                      if not (plain_specials and token.special)]
         vocabulary = self.model.get_vocab()
         self.type = np.dtype("<u2" if len(vocabulary) <= 65_536 else "<u4")
         self.letters = _byte_letters()
         space = self.letters[32]
         bytes_of = {letter: b for b, letter in self.letters.items()}
         # entries with a space inside, all of whose words are letters, would join words
+        inside = [entry for entry in vocabulary if space in entry.lstrip(space)]
         joins = any(any(word.isalpha() for word in bytes(
             bytes_of.get(c, 32) for c in entry).decode(errors="replace").split(" "))
-            for entry in vocabulary if space in entry.lstrip(space))
+            for entry in inside)
+        #: bytes that such entries have before a space; a piece that ends so is encoded by itself
+        self.joining = {bytes_of[a] for entry in inside for a, b in zip(entry, entry[1:])
+                        if b == space and a in bytes_of}
         splitter = self.model.pre_tokenizer
         self.by_word = (isinstance(self.model.model, models.BPE) and not joins
                         and isinstance(splitter, pre_tokenizers.ByteLevel)
                         and not splitter.add_prefix_space and self.model.normalizer is None)
+        newline = self.letters[10]
+        #: all bytes of entries that hold a newline; pieces without them stay apart between newlines
+        self.beside = {bytes_of[c] for entry in vocabulary if newline in entry for c in entry}
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for entry, number in vocabulary.items():
             self.lengths[number] = len(entry)
@@ -111,28 +126,38 @@ class Encoder:
         shown = piece.encode().decode("latin-1").translate(self.letters)
         return np.array([token.id for token in self.bpe.tokenize(shown)], self.type)
 
-    def _learn_letters(self, words: list[str]) -> None:
+    def _together(self, words: list[str], into: dict[str, bytes], mark: str = " ") -> None:
+        """Ids of each word, which the vocabulary doesn't join to the mark before the next one. A
+        space belongs to the word that follows it; another mark is an id of its own."""
+        own, size = int(mark != " "), self.type.itemsize
         for at in range(0, len(words), _TOGETHER):
             part = words[at:at + _TOGETHER]
-            ids = self._ids(" " + " ".join(part))
+            ids = self._ids(mark + mark.join(part))
             ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in part), np.int64, len(part)))
             cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            raw, size = ids.tobytes(), self.type.itemsize
-            low = 0
+            raw, low = ids.tobytes(), own * size
             for word, high in zip(part, (cuts * size).tolist()):
-                self.known[word] = raw[low:high]
-                low = high
+                into[word] = raw[low:high]
+                low = high + own * size
 
     def _learn(self, words: list[str]) -> None:
         # a word of letters, perhaps with marks after it, is cut without a pattern
         cores = [word.rstrip(_MARKS) for word in words]
         plain = list(map(str.isalpha, cores))
+        known, pieces = self.known, self.pieces
         mixed = {word: _PIECES.findall(" " + word) for word, p in zip(words, plain) if not p}
+        spaced = {piece[1:] for own in mixed.values() for piece in own
+                  if piece[0] == " " and len(piece) > 1}
         letters = {core for core, p in zip(cores, plain) if p}
-        letters.update(p[1:] for own in mixed.values() for p in own
-                       if p[0] == " " and p[1:].isalpha())
-        self._learn_letters([word for word in letters if word not in self.known])
-        known, pieces = self.known, self.pieces
+        letters.update(filter(str.isalpha, spaced))
+        self._together([word for word in letters if word not in known], known)
+        others: dict[str, bytes] = {}
+        self._together([piece for piece in spaced if not piece.isalpha()
+                        and piece.encode()[-1] not in self.joining], others)
+        bare = {piece for own in mixed.values() for piece in own
+                if piece[0] != " " and piece not in pieces}
+        self._together([piece for piece in bare
+                        if self.beside.isdisjoint(piece.encode())], pieces, "\n")
         for word, core, p in zip(words, cores, plain):
             if p and len(core) < len(word):
                 tail = word[len(core):]
@@ -142,25 +167,37 @@ class Encoder:
         for word, own in mixed.items():
             found = []
             for piece in own:
-                got = known.get(piece[1:]) if piece[0] == " " and len(piece) > 1 else None
-                if got is None and (got := pieces.get(piece)) is None:
+                rest = piece[1:] if piece[0] == " " else ""
+                got = (others.get(rest) or known.get(rest)) if rest else pieces.get(piece)
+                if got is None:
                     got = pieces[piece] = self._ids(piece).tobytes()
                 found.append(got)
             known[word] = b"".join(found)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as bytes of the encoder's integer type."""
+    def encode(self, texts: list[str], spaced: bool = False) -> list[bytes]:
+        """Ids of each text, with a space before it if `spaced`, as bytes of the integer type."""
         if not self.by_word:
-            return self._whole(texts)
-        cut = [None if _TIED.search(t) or t.startswith(" ") else t.split(" ") for t in texts]
-        firsts = [None if own is None else own.pop(0) for own in cut]
+            return self._whole([" " + t for t in texts] if spaced else texts)
+        cut = [None if t.startswith(" ") or _TIED.search(t) or any(a in t for a in self.added)
+               else t.split(" ") for t in texts]
+        if spaced:
+            # a text that starts with white space is tied to the space before it
+            cut = [None if own is None or own[0][:1].isspace() or not own[0] else own
+                   for own in cut]
+            firsts = []
+        else:
+            # the first word of a text has no space before it
+            firsts = [None if own is None else own.pop(0) for own in cut]
         if len(self.known) + len(self.pieces) > _KNOWN:
             self.known.clear()
             self.pieces.clear()
+        known = self.known
         here = set(chain.from_iterable(own for own in cut if own))
-        self._learn([word for word in here if word not in self.known])
-        get = {word: self.known[word] for word in here}.__getitem__
-        # the first word of a text has no space before it
+        self._learn(list(here.difference(known)))
+        get = known.__getitem__
+        if spaced:
+            whole = iter(self._whole([" " + t for t, own in zip(texts, cut) if own is None]))
+            return [next(whole) if own is None else b"".join(map(get, own)) for own in cut]
         whole = iter(self._whole([t if own is None else first
                                   for t, first, own in zip(texts, firsts, cut)]))
         return [next(whole) if own is None else next(whole) + b"".join(map(get, own))
@@ -173,21 +210,36 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """A zstandard dictionary of the serialized ids of a bounded sample of documents; empty where
-    there is too little to learn from."""
-    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS))
-    n = short.count()
-    share = min(1.0, SAMPLE_ROWS / max(n, 1))
-    picked = short.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+def _sample(docs: DataFrame) -> tuple[list[str], int, int]:
+    """Hash-chosen whole texts for the dictionary, and the table's rows and bytes, in one pass."""
+    n = docs.count()  # from the files' footers
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
+    watch = Observation()
+    short = (docs.observe(watch, F.sum(F.octet_length("text")).alias("bytes"))
+             .filter(F.length("text") <= SAMPLE_CHARS))
+    share = SAMPLE_ROWS / max(n, 1)
+    picked = short.filter(key < max(1, share * 1_000_003)).orderBy(key, "text")
     texts = [row[0] for row in picked.select("text").limit(2 * SAMPLE_ROWS).collect()]
-    samples = encoder(tokenizer).encode(texts)
-    if len(samples) < 16:
-        return b""
+    size = watch.get["bytes"] or 0
+    if len(texts) < _LEAST and n:  # few rows, or many copies of few
+        texts = [row[0] for row in short.orderBy(key, "text").select("text")
+                 .limit(SAMPLE_ROWS).collect()]
+    return texts, n, size
+
+
+def train_dictionary(texts: list[str], tokenizer: str) -> bytes:
+    """A zstandard dictionary of serialized ids. Samples too few or too like each other to train on
+    are the dictionary's content as they are; without any sample it is empty."""
+    own = encoder(tokenizer)
+    end = np.asarray([END_ID], own.type).tobytes()
+    samples = [ids + end for ids in own.encode(texts)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        if len(samples) >= _LEAST:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        pass
+    content = b"".join(samples)[-DICTIONARY_BYTES:]
+    return content * (8 // len(content) + 1) if content else b""
 
 
 def _compressor(dictionary: bytes):
@@ -206,7 +258,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shards: int | None = Non
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text"))
-    dictionary = train_dictionary(docs, tokenizer)
+    texts, _, size = _sample(docs)
+    dictionary = train_dictionary(texts, tokenizer)
     digest = hashlib.sha256(dictionary).digest()
     files, base = opened(folder)
     files.create_dir(base, recursive=True)
@@ -246,7 +299,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shards: int | None = Non
             "shard": [number], "file": [name], "n_docs": [len(ids)], "n_nulls": [nulls],
             "n_tokens": [sum(sizes)], "n_bytes": [at + 24 * len(ids) + FOOTER_BYTES]})
 
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     key = F.xxhash64("text")
     ordered = (docs.repartitionByRange(n, F.col("doc_id"), key)
                .sortWithinPartitions("doc_id", key))
@@ -270,6 +323,7 @@ class Shard:
             dictionary = stream.read()
         if hashlib.sha256(dictionary).digest() != digest:
             raise ValueError(f"the dictionary of {name} has changed")
+        self.dictionary = dictionary
         self.unpack = _decompressor(dictionary).decompress
         self.file.seek(index)
         columns = np.frombuffer(self.file.read(24 * n), "<i8").reshape(3, n)
@@ -314,7 +368,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         "shard": row.shard})
 
     n = max(1, manifest.count())
-    return placed.repartition(n, "shard").mapInPandas(
+    # a range for each shard: hashes would give some tasks several and some none
+    return placed.repartitionByRange(n, "shard").mapInPandas(
         documents, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
