@@ -14,13 +14,14 @@ from tidemart.session import work_dir
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
-#: Rows of one Arrow batch to Python; texts of 100 kB make larger batches heavy.
-BATCH_ROWS = 512
+#: One Arrow batch to Python has at most so many rows, and ends at so many bytes.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in small batches, whatever their number."""
+    """Whole texts go to Python in small batches, whatever their number and length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def written(rows: DataFrame, purpose: str) -> DataFrame:

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidemart.llm import (chat, decontaminate, licenses, mixing, quality, quality_rules, secret_scan,
-                          simhash, token_files, warc)
+from tidemart.llm import (alignment, chat, decontaminate, html_text, lexical_search, licenses, mixing,
+                          quality, quality_rules, secret_scan, simhash, token_files, warc)
 from tidemart.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: The conversation that holds nothing but control strings.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -74,10 +75,25 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page by tag-path ratios."""
+    return html_text.extract(table(spark, sf, "pages")).drop("root")
+
+
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return lexical_search.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of two vocabularies over every whole text, aligned by the bytes they cover."""
+    return alignment.aligned(table(spark, sf, "documents"), TOKENIZER, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
     op1_secret_scan, op2_chat_formatting, op3_license_scan, op4_source_mixing, op5_token_files,
     op6_quality_classifier, op7_simhash_near_dedup, op8_quality_rules, op9_warc,
-    op10_decontamination)} | {"pipeline": corpus_pipeline.run}
+    op10_decontamination, op11_html_text, op12_lexical_search, op13_token_alignment)} | {"pipeline": corpus_pipeline.run}
 
 ORACLE: dict[str, str] = {
     "op2_chat_formatting": r"""
@@ -184,4 +200,32 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_h
   coalesce(named.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   hits.n IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op12_lexical_search": r"""
+WITH docs AS (
+  SELECT * FROM (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents)
+  WHERE len(words) > 0),
+corpus AS (SELECT count(*) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM docs),
+held AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(words) AS n, unnest(words) AS term FROM docs) GROUP BY ALL),
+counts AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+asked AS (
+  SELECT DISTINCT q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark)),
+weighed AS (
+  SELECT q, item_id, term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM asked JOIN counts USING (term), corpus),
+scored AS (
+  SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf)
+    // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM weighed JOIN held USING (term), corpus GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank
+  FROM scored WHERE score > 0) WHERE rank <= 10""",
 }
