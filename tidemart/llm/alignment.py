@@ -41,6 +41,8 @@ from tidemart.session import work_dir
 
 #: Distinct pairs of a chunk, about; it ends with the batch that reaches them.
 CHUNK_PAIRS = 1_000_000
+#: Text of a batch, about; a batch's arrays take some hundred times that.
+BATCH_BYTES = 1 << 20
 #: Segments of text a worker remembers; beyond that it starts anew.
 _KNOWN = 500_000
 _SPACE = "▁"
@@ -277,7 +279,7 @@ def _stored(size: int, **columns) -> pa.RecordBatch:
 
 def store(docs: DataFrame, bytes_path: str, pieces_path: str, folder: str) -> None:
     """Aligns all documents and writes them, and the pairs of each chunk, below the folder."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, chunk = aligner(bytes_path, pieces_path), Chunk()

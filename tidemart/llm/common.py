@@ -18,10 +18,10 @@ WORD = f"[^{SPACE}]+"
 BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in small batches, whatever their number and length."""
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Whole texts go to Python in batches of about so many bytes, whatever their number."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def written(rows: DataFrame, purpose: str) -> DataFrame:
