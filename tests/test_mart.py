@@ -65,7 +65,7 @@ def settle(mart, spark):
 
 
 def test_jobs_on_the_clock_need_an_interval(mart):
-    assert len(JOBS) == 32
+    assert len(JOBS) == 33
     with pytest.raises(ValueError):
         run(mart, "order_settled")
 
@@ -76,7 +76,7 @@ def test_log_side(mart, spark, sf):
     assert [r["value"] for r in read("log_rejects").collect()] == ["broken"]
     log = standin.behaviour(spark, sf).filter("event_id < 400").drop("event_id")
     pages = logs.split_log(logs.repair_new_visitors(log)).page
-    assert read("page").count() == pages.count()
+    assert mart.log_stream("page", stream=False).count() == pages.count()
     visitors = visits.daily_visitors(pages)
     assert read("unique_visitor").count() == visitors.count()
     found = mart.summary("traffic", ("version", "channel", "area", "is_new"))
@@ -88,7 +88,7 @@ def test_log_side(mart, spark, sf):
 
 
 def test_trade_side(mart, spark):
-    finish(mart, "dimensions", "order_wide", "order_detail")
+    finish(mart, "change_tables", "dimensions", "order_wide", "order_detail")
     settle(mart, spark)
     finish(mart, "province_window")
     assert mart.dimension("base_province").filter("id <> ''").count() == 25
@@ -104,7 +104,7 @@ def test_trade_side(mart, spark):
 
 
 def test_registrations(mart, spark):
-    finish(mart, "user_register", "register_window")
+    finish(mart, "change_tables", "user_register", "register_window")
     rows = spark.read.parquet(f"{mart.root}/fact/user_register")
     assert only_in(mart.summary("register"), summaries.register_window(rows, HOUR)) == (0, 0)
     assert rows.columns == ["user_id", "date_id", "create_time", "ts"]

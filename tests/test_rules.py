@@ -259,3 +259,26 @@ def test_comma_lines(spark):
     raw = spark.createDataFrame([("1,ann,paris",), ("2,bob",)], "value string")
     assert [tuple(r) for r in feeds.comma_lines(raw, ("id", "name", "addr")).collect()] == [
         ("1", "ann", "paris"), ("2", "bob", None)]
+
+
+def test_unknown_keys_stay_with_their_row(spark):
+    """Keys that the schema doesn't know survive in all five streams, and in their JSON."""
+    common = '"common": {"mid": "m", "is_new": "1", "os": "x", "n": 5}'
+    page = '"page": {"page_id": "home", "during_time": 7, "refer": {"id": 3}}'
+    text = ['{%s, %s, "displays": [{"item": "1"}], "actions": [{"action_id": "2"}], "err": {"msg": "e"},'
+            ' "ts": 1}' % (common, page), '{%s, "start": {"entry": "icon"}, "ts": 2}' % common,
+            '{"common": {"mid": "plain"}, "ts": 3}']
+    log = logs.parse_text(spark.createDataFrame([(t,) for t in text], "value string")).clean
+    streams = logs.split_log(log)._asdict()
+    tagged = logs.tagged(log)
+    for name, rows in streams.items():
+        for some in (rows, logs.stream_of(tagged, name)):
+            found = [r for r in some.collect() if r.common.mid == "m"]
+            assert found and all(r.common_more == {"os": "x", "n": "5"} for r in found)
+            assert all(r.page is None or r.page_more == {"refer": '{"id":3}'} for r in found)
+    plain = streams["page"].filter("common.mid = 'plain'").first()
+    assert plain.common_more is None and plain.page is None and plain.page_more is None
+    whole = logs.whole_objects(streams["page"]).filter("common.mid = 'm'").first()
+    assert whole.common == {"mid": "m", "is_new": "1", "os": "x", "n": "5"}
+    assert whole.page == {"page_id": "home", "during_time": "7", "refer": '{"id":3}'}
+

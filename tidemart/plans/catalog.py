@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from tidemart import schemas as S
 from tidemart.functions.clock import from_ms
@@ -347,30 +349,41 @@ def _taken(rows: DataFrame, name: str, keys: Sequence[str] = (), mode: str = "up
            ) -> DataFrame:
     """Run a stream over what its source holds now, and read back what it wrote."""
     spark, schema = rows.sparkSession, rows.schema
-    path, checkpoint = work_dir(spark, name), work_dir(spark, f"{name}-checkpoint")
-    writer = sinks.to_upserts(rows, path, keys, mode=mode) if keys else sinks.to_files(rows, path)
+    path = work_dir(spark, name)
+    _run(sinks.to_upserts(rows, path, keys, mode=mode) if keys else sinks.to_files(rows, path),
+         spark, name)
+    return sinks.current(spark, path, keys) if keys else spark.read.schema(schema).parquet(path)
+
+
+def _run(writer: DataStreamWriter, spark: SparkSession, name: str) -> None:
+    """Run a query until its source has nothing new."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
     # one state store per core; a stream keeps the number it starts with
     spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     try:
-        query = sinks.start(writer, checkpoint)
+        query = sinks.start(writer, work_dir(spark, f"{name}-checkpoint"))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     query.awaitTermination()
-    return sinks.current(spark, path, keys) if keys else spark.read.schema(schema).parquet(path)
 
 
-def _replayed(rows: DataFrame, name: str, closing: DataFrame, parts: int = 4) -> DataFrame:
+def _replayed(rows: DataFrame, name: str, closing: DataFrame | None = None, parts: int = 4,
+              at: str = "ts", late: Column | None = None) -> DataFrame:
     """The rows as a stream of several micro-batches in order of time, each one file, and last the
-    closing rows, which only move the watermark on."""
+    closing rows, which only move the watermark on. Rows for which `late` holds come one micro-batch
+    after their time."""
     path = work_dir(rows.sparkSession, name)
-    cuts = rows.approxQuantile("ts", [k / parts for k in range(1, parts)], 0.01)
+    cuts = rows.select(F.col(at).cast("double").alias("at")).approxQuantile(
+        "at", [k / parts for k in range(1, parts)], 0.01)
     part = F.lit(0)
     for cut in cuts:
-        part = part + (F.col("ts") > cut).cast("int")
+        part = part + (F.col(at).cast("double") > cut).cast("int")
+    if late is not None:
+        part = F.least(part + F.coalesce(late, F.lit(False)).cast("int"), F.lit(parts - 1))
     for number in range(parts):
         rows.filter(part == number).coalesce(1).write.mode("append").parquet(path)
-    closing.coalesce(1).write.mode("append").parquet(path)
+    if closing is not None:
+        closing.select(*rows.columns).coalesce(1).write.mode("append").parquet(path)
     return (rows.sparkSession.readStream.schema(rows.schema)
             .option("maxFilesPerTrigger", 1).parquet(path))
 
@@ -393,6 +406,37 @@ def stream_new_visitor_repair(spark: SparkSession, sf: str) -> DataFrame:
                                F.col("common.is_new").alias("is_new"), "ts"), "repair")
 
 
+def stream_log_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw text in several micro-batches through the fan-out, and its five streams read back with
+    the keys nobody knows."""
+    text = _replayed(standin.behaviour_text(spark, sf, timed=True), "log-text", at="at").drop("at")
+    log = rules.repair_new_visitors(logs.parse_text(text).clean, TIE)
+    path = work_dir(spark, "log-streams")
+    _run(sinks.to_log_streams(log, path), spark, "log-streams")
+    event = T.StructType([T.StructField("event_id", T.LongType())])
+    detail = {"page": F.col("page.last_page_id"), "start": F.col("start")["loading_time"],
+              "display": F.col("display")["item"], "action": F.col("action")["item"],
+              "error": F.col("err")["error_code"]}
+    parts = [feeds.stored_stream(spark, path, name, stream=False, more=event).select(
+        "event_id", F.lit(name).alias("stream"), F.col("common.mid").alias("mid"),
+        F.col("common.is_new").alias("is_new"), F.col("common_more")["os"].alias("os"),
+        F.col("page_more")["refer_id"].alias("refer_id"), detail[name].alias("detail"))
+        for name in logs.STREAMS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stream_change_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw change feed of coupons and carts, split once in several micro-batches; the coupon
+    orders out of their partition."""
+    feed = standin.as_one_log(standin.table_changes(spark, sf, "coupon_use", "cart_info"))
+    text = feed.select(F.to_json(F.struct(*S.ENVELOPE.names)).alias("value"),
+                       F.col("ts").cast("bigint").alias("at"))
+    path = work_dir(spark, "change-tables")
+    changes_of = feeds.change_log(_replayed(text, "change-text", at="at"))
+    _run(sinks.to_change_tables(changes_of, path), spark, "change-tables")
+    return facts.coupon_order(feeds.stored_changes(spark, path, "coupon_use", stream=False))
+
+
 def stream_unique_visitor_daily(spark: SparkSession, sf: str) -> DataFrame:
     rows = rules.daily_visitors(standin.pages(spark, sf, stream=True), TIE)
     return _taken(rows.select("event_id", "common.*", "page.*", "ts"), "visitors")
@@ -458,4 +502,4 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     left_lookup, two_key_lookup, click_filter_count, stream_new_visitor_repair,
     stream_bounce_detail, stream_unique_visitor_daily, stream_login_days, stream_page_visitors, stream_keyword_window,
     stream_register_window, stream_traffic_window, stream_cart_delta, stream_refund_detail,
-    stream_changelog_count)}
+    stream_changelog_count, stream_log_split, stream_change_tables)}

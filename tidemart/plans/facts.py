@@ -95,6 +95,9 @@ def order_wide(log: Log, dic: DataFrame, bounds: Bounds | None = None) -> DataFr
         "type", "old", "od_ts", "oi_ts", F.current_timestamp().alias("row_op_ts"))
 
 
+#: Source tables of a wide order row.
+ORDER_TABLES = ("order_detail", "order_info", "order_detail_activity", "order_detail_coupon")
+
 _DETAIL_HEAD = ["id", "order_id", "user_id", "sku_id", "sku_name", "province_id", "activity_id",
                 "activity_rule_id", "coupon_id"]
 _DETAIL_AMOUNTS = ["split_original_amount", "split_activity_amount", "split_coupon_amount",

@@ -496,4 +496,17 @@ SELECT mid, page_id, min(ts) AS ts
 FROM page WHERE page_id IN ('home', 'good_detail') GROUP BY mid, page_id, day""")
 
 # The same rows, however the feed arrives.
-ORACLE["change_text"] = ORACLE["coupon_order"]
+ORACLE["change_text"] = ORACLE["stream_change_tables"] = ORACLE["coupon_order"]
+
+ORACLE["stream_log_split"] = _log("""
+SELECT event_id, stream, mid, is_new, 'os' || vc AS os, CAST(event_id % 11 AS VARCHAR) AS refer_id,
+       detail
+FROM (
+  SELECT *, 'page' AS stream, last_page_id AS detail FROM repaired WHERE NOT is_start
+  UNION ALL SELECT *, 'start', CAST(k AS VARCHAR) FROM repaired WHERE is_start
+  UNION ALL SELECT * EXCLUDE (place), 'display', CAST(k + place AS VARCHAR)
+  FROM (SELECT *, unnest(range(1, k % 3 + 1)) AS place FROM repaired WHERE NOT is_start)
+  UNION ALL SELECT *, 'action', CAST(k AS VARCHAR) FROM repaired WHERE NOT is_start AND k % 2 = 1
+  UNION ALL SELECT *, 'error', CAST(k + 1000 AS VARCHAR) FROM repaired WHERE is_error)""",
+                                  "clean AS (SELECT * FROM log WHERE k % 10 <> 0)",
+                                  _REPAIRED.format(source="clean"))

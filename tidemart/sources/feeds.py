@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemart.functions.clock import from_ms_by_second
-from tidemart.operators.logs import parse_text
+from tidemart.operators.logs import parse_text, stream_of, stream_schema
 from tidemart.schemas import DICTIONARY, ENVELOPE, PAGE_TABLE, ROUTING, WIDE_ORDER
 
 PAGE_DELAY = "3 seconds"
@@ -72,6 +72,27 @@ def page_table(raw: DataFrame, delay: str = PAGE_DELAY) -> DataFrame:
     return rows.withWatermark("row_time", delay) if rows.isStreaming else rows
 
 
+def stored_changes(spark: SparkSession, path: str, *tables: str, stream: bool = True,
+                   files_per_trigger: int | None = None) -> dict[str, DataFrame]:
+    """Changes of some source tables out of the stored split of the feed, a partition each."""
+    schema = T.StructType([*(f for f in ENVELOPE.fields if f.name != "table"), ENVELOPE["table"]])
+
+    def one(name: str) -> DataFrame:
+        rows = table_rows(spark, path, schema, stream=stream, files_per_trigger=files_per_trigger)
+        return rows.filter(F.col("table") == name)
+
+    return {name: one(name) for name in tables}
+
+
+def stored_stream(spark: SparkSession, path: str, name: str, *, stream: bool = True,
+                  more: T.StructType | None = None, files_per_trigger: int | None = None,
+                  ) -> DataFrame:
+    """One stream of the stored log."""
+    rows = table_rows(spark, path, stream_schema(more), stream=stream,
+                      files_per_trigger=files_per_trigger)
+    return stream_of(rows, name)
+
+
 def wide_orders(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
     """The stored wide order rows under their fixed schema."""
     return table_rows(spark, path, WIDE_ORDER, stream=stream)

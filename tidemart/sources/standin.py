@@ -93,16 +93,21 @@ def behaviour_of(events: DataFrame) -> DataFrame:
         "event_id")
 
 
-def behaviour_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def behaviour_text(spark: SparkSession, sf_dir: str, timed: bool = False) -> DataFrame:
     """The same log as raw text in which every tenth kind of row is damaged: cut short, emptied,
-    or without its `common` part."""
+    or without its `common` part. With `timed`, the time stands beside it as `at`, and the objects
+    hold keys that the mart doesn't know."""
     rows = behaviour(spark, sf_dir)
+    if timed:
+        rows = rows.withColumns({
+            "common": F.col("common").withField("os", F.concat(F.lit("os"), F.col("common.vc"))),
+            "page": F.col("page").withField("refer_id", F.col("event_id") % 11)})
     k = (F.col("page.during_time") / 100).cast("int")
     whole = F.to_json(F.struct("common", "page", "displays", "actions", "start", "err", "ts"))
     bare = F.to_json(F.struct("page", "ts"))
     value = (F.when(k % 30 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1))
              .when(k % 30 == 10, F.lit("")).when(k % 30 == 20, bare).otherwise(whole))
-    return rows.select("event_id", value.alias("value"))
+    return rows.select("event_id", value.alias("value"), *([rows["ts"].alias("at")] if timed else []))
 
 
 def pages(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from tidemart import schemas as S
 from tidemart.operators.logs import parse_text
 from tidemart.operators.visits import BOUNCE_GAP_MS, RETURN_DAYS
 from tidemart.operators.windows import SIZE
@@ -52,8 +53,15 @@ class Mart:
         return feeds.folder_text(self.spark, f"{self.root}/feed/{name}", stream=True,
                                  files_per_trigger=self.files_per_trigger)
 
-    def changes(self) -> DataFrame:
-        return feeds.change_log(self.feed("db"))
+    def changes(self, *tables: str) -> dict[str, DataFrame]:
+        """Changes of the tables named, as `change_tables` has stored them."""
+        return feeds.stored_changes(self.spark, f"{self.root}/fact/changes", *tables,
+                                    files_per_trigger=self.files_per_trigger)
+
+    def log_stream(self, name: str, stream: bool = True) -> DataFrame:
+        """A stream of the behaviour log, as `log_streams` has stored it."""
+        return feeds.stored_stream(self.spark, f"{self.root}/fact/log", name, stream=stream,
+                                   files_per_trigger=self.files_per_trigger)
 
     def fact(self, name: str) -> DataFrame:
         rows = feeds.table_rows(self.spark, f"{self.root}/fact/{name}", stream=True,
@@ -113,13 +121,23 @@ def run(mart: Mart, name: str, every: str | None = None) -> StreamingQuery:
 @job
 def dimensions(mart: Mart) -> DataStreamWriter:
     sinks.create_targets(mart.spark, f"{mart.root}/dim", mart.routing())
-    return sinks.to_dimensions(mart.changes(), f"{mart.root}/dim", mart.routing)
+    # which tables are routed is known per micro-batch only, so this job reads them all
+    log = feeds.table_rows(mart.spark, f"{mart.root}/fact/changes", S.ENVELOPE, stream=True,
+                           files_per_trigger=mart.files_per_trigger)
+    return sinks.to_dimensions(log, f"{mart.root}/dim", mart.routing)
+
+
+@job
+def change_tables(mart: Mart) -> DataStreamWriter:
+    """The raw change feed is parsed here and nowhere else."""
+    return sinks.to_change_tables(feeds.change_log(mart.feed("db")).filter("table IS NOT NULL"),
+                                  f"{mart.root}/fact/changes")
 
 
 @job
 def log_streams(mart: Mart) -> DataStreamWriter:
     clean = parse_text(mart.feed("log")).clean
-    return sinks.to_log_streams(rules.repair_new_visitors(clean), f"{mart.root}/fact")
+    return sinks.to_log_streams(rules.repair_new_visitors(clean), f"{mart.root}/fact/log")
 
 
 @job
@@ -134,25 +152,25 @@ def change_rejects(mart: Mart) -> DataStreamWriter:
 
 @job
 def unique_visitor(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(rules.daily_visitors(mart.fact("page")), "unique_visitor")
+    return mart.to_fact(rules.daily_visitors(mart.log_stream("page")), "unique_visitor")
 
 
 @job
 def bounce(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(rules.bounces(mart.fact("page"), mart.gap_ms), "bounce")
+    return mart.to_fact(rules.bounces(mart.log_stream("page"), mart.gap_ms), "bounce")
 
 
 # --- facts from the change log -----------------------------------------------------------------
 
 @job
 def cart_add(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(facts.cart_add(mart.changes(), mart.dictionary()), "cart_add")
+    return mart.to_fact(facts.cart_add(mart.changes("cart_info"), mart.dictionary()), "cart_add")
 
 
 @job
 def order_wide(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(facts.order_wide(mart.changes(), mart.dictionary(), mart.order_bounds),
-                        "order_wide")
+    return mart.to_fact(facts.order_wide(mart.changes(*facts.ORDER_TABLES), mart.dictionary(),
+                                         mart.order_bounds), "order_wide")
 
 
 @job
@@ -168,50 +186,52 @@ def order_cancel(mart: Mart) -> DataStreamWriter:
 @job
 def payment_success(mart: Mart) -> DataStreamWriter:
     return mart.to_fact(facts.payment_success(
-        mart.changes(), mart.fact("order_detail"), mart.dictionary(), mart.payment_bounds),
+        mart.changes("payment_info"), mart.fact("order_detail"), mart.dictionary(),
+        mart.payment_bounds),
         "payment_success")
 
 
 @job
 def refund_request(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(facts.refund_request(mart.changes(), mart.dictionary(),
-                                             mart.order_bounds), "refund_request")
+    return mart.to_fact(facts.refund_request(mart.changes("order_refund_info", "order_info"),
+                                             mart.dictionary(), mart.order_bounds),
+                        "refund_request")
 
 
 @job
 def refund_paid(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(facts.refund_paid(mart.changes(), mart.dictionary(), mart.order_bounds),
-                        "refund_paid")
+    log = mart.changes("refund_payment", "order_info", "order_refund_info")
+    return mart.to_fact(facts.refund_paid(log, mart.dictionary(), mart.order_bounds), "refund_paid")
 
 
 @job
 def coupon_get(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(facts.coupon_get(mart.changes()), "coupon_get")
+    return mart.to_fact(facts.coupon_get(mart.changes("coupon_use")), "coupon_get")
 
 
 @job
 def coupon_order(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(facts.coupon_order(mart.changes()), "coupon_order")
+    return mart.to_fact(facts.coupon_order(mart.changes("coupon_use")), "coupon_order")
 
 
 @job
 def coupon_pay(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(facts.coupon_pay(mart.changes()), "coupon_pay")
+    return mart.to_fact(facts.coupon_pay(mart.changes("coupon_use")), "coupon_pay")
 
 
 @job
 def favor_add(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(facts.favor_add(mart.changes()), "favor_add")
+    return mart.to_fact(facts.favor_add(mart.changes("favor_info")), "favor_add")
 
 
 @job
 def comment_add(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(facts.comment_add(mart.changes(), mart.dictionary()), "comment_add")
+    return mart.to_fact(facts.comment_add(mart.changes("comment_info"), mart.dictionary()), "comment_add")
 
 
 @job
 def user_register(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(facts.user_register(mart.changes()), "user_register")
+    return mart.to_fact(facts.user_register(mart.changes("user_info")), "user_register")
 
 
 @job
@@ -231,7 +251,7 @@ def payment_settled(mart: Mart) -> DataStreamWriter:
 
 @job
 def keyword_window(mart: Mart) -> DataStreamWriter:
-    return mart.to_summary(jobs.keyword_window(mart.fact("page"), mart.size), "keyword",
+    return mart.to_summary(jobs.keyword_window(mart.log_stream("page"), mart.size), "keyword",
                            ["keyword"], "update")
 
 
@@ -240,19 +260,19 @@ TRAFFIC_KEYS = ("version", "channel", "area", "is_new")
 
 @job
 def traffic_window(mart: Mart) -> DataStreamWriter:
-    rows = jobs.traffic_window(mart.fact("page"), mart.fact("bounce"), mart.fact("unique_visitor"),
+    rows = jobs.traffic_window(mart.log_stream("page"), mart.fact("bounce"), mart.fact("unique_visitor"),
                                mart.size, mart.gap_ms)
     return mart.to_summary(rows, "traffic", TRAFFIC_KEYS, "update")
 
 
 @job
 def home_detail_window(mart: Mart) -> DataStreamWriter:
-    return mart.to_summary(jobs.home_detail_window(mart.fact("page"), mart.size), "home_detail")
+    return mart.to_summary(jobs.home_detail_window(mart.log_stream("page"), mart.size), "home_detail")
 
 
 @job
 def login_window(mart: Mart) -> DataStreamWriter:
-    return mart.to_summary(jobs.login_window(mart.fact("page"), mart.size, mart.return_days),
+    return mart.to_summary(jobs.login_window(mart.log_stream("page"), mart.size, mart.return_days),
                            "login")
 
 

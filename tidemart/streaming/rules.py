@@ -95,17 +95,19 @@ class _Rule(StatefulProcessor):
 
 
 class FirstDay(_Rule):
-    """Adds the first known day of the key. The state is set by the key's first row; later rows
-    pass through one by one."""
+    """Adds the first known day of the key. The state is set by the key's first row that has a
+    time; later rows pass through one by one."""
 
     def handleInputRows(self, key, rows, timerValues):
         known = self.state.get()
         if known is None:
             rows = self.sorted(rows)
-            known = (rows[0]["_own_first"],)
-            self.state.update(known)
+            known = next(((row["_own_first"],) for row in rows if row["_own_first"] is not None),
+                         None)
+            if known is not None:
+                self.state.update(known)
         for row in rows:
-            yield self.make(*row, known[0])
+            yield self.make(*row, known[0] if known else None)
 
 
 class NewDay(_Rule):

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from tidemart.operators import dimensions
-from tidemart.operators.logs import split_log
+from tidemart.operators.logs import tagged
 from tidemart.operators.versions import latest_per_key
 from tidemart.schemas import ROUTING
 
@@ -109,16 +109,18 @@ def stamped(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def to_log_streams(log: DataFrame, path: str) -> DataStreamWriter:
-    """Fan a repaired log out to its five streams; the micro-batch is computed once."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for name, rows in split_log(batch)._asdict().items():
-                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        finally:
-            batch.unpersist()
-
-    return log.writeStream.outputMode("append").foreachBatch(write)
+    """Fan a repaired log out to its five streams: one folder, a partition a stream, written by one
+    query. The sink lists the files of every finished micro-batch, and readers of the folder go by
+    that list, so a repeated micro-batch or files of a lost task are never seen downstream.
+    `logs.stream_of` picks a stream; a filter on it reads its partition only."""
+    return to_files(tagged(log), path).partitionBy("stream")
+
+
+def to_change_tables(log: DataFrame, path: str) -> DataStreamWriter:
+    """The change feed parsed once and kept per source table, in the same way: each row exactly
+    once, and a job reads the partitions of its tables only."""
+    return to_files(log.select("database", "type", "data", "old", "ts", "table"), path
+                    ).partitionBy("table")
 
 
 def to_dimensions(log: DataFrame, path: str, config: Callable[[], DataFrame],
