@@ -216,6 +216,76 @@ def test_hold_latest_version(replay, spark):
     assert found == {("a", 3, "new"), ("b", 1, "only")}
 
 
+def test_settled_on_event_time(spark):
+    """Versions in any order within the delay; one beyond it is not seen; the query ends by itself."""
+    schema = "id string, ts string, row_op_ts long, what string"
+    batches = [[("a", "100", 1, "old"), ("b", "105", 1, "only"), ("c", "101", 2, "late version")],
+               [("a", "103", 3, "new"), ("a", "102", 2, "between"), ("c", "100", 1, "early")],
+               [("x", "200", 1, "later")], [("y", "300", 1, "again")],
+               [("a", "104", 9, "beyond the delay")],
+               [("a", "310", 1, "a again"), ("z", "500", 1, "closing")]]
+    stream = in_batches(spark, schema, *batches)
+    rows = jobs.settled_details(stream, "id", ("row_op_ts",), 5_000, "10 seconds")
+    out = work_dir(spark, "out")
+    query = sinks.start(sinks.to_files(rows, out), work_dir(spark, "ck"))
+    assert query.awaitTermination(120)
+    found = {tuple(row) for row in spark.read.schema(rows.schema).parquet(out).select(
+        "id", "row_op_ts", "what").collect()}
+    assert found == {("a", 3, "new"), ("b", 1, "only"), ("c", 2, "late version"), ("x", 1, "later"),
+                     ("y", 1, "again"), ("a", 1, "a again")}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2  # z alone is held
+
+
+def test_state_that_feeds_a_window_has_a_life(spark):
+    """A user counts as unknown a life after the last row; others are forgotten without a word."""
+    day = 86_400
+    users = [[(f"u{k}", str(day + k)) for k in range(50)], [("u0", str(3 * day))],
+             [("w", str(8 * day))], [("u1", str(9 * day))], [("u0", str(10 * day)), ("u1", str(10 * day))],
+             [("end", str(30 * day))]]
+    def run(life):
+        rows = jobs.timed_by_seconds(in_batches(spark, "user_id string, ts string", *users))
+        marks = rules.day_marks(rows, "user_id", F.to_date(jobs.AT), (jobs.AT,), jobs.AT, life)
+        out = work_dir(spark, "out")
+        query = sinks.start(sinks.to_files(marks.select("user_id", "ts", "_last"), out),
+                            work_dir(spark, "ck"))
+        assert query.awaitTermination(120)
+        found = {(r.user_id, int(r.ts) // day): r._last is None for r in spark.read.parquet(
+            out).collect()}
+        return found, [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    known, kept = run(None)
+    assert not known["u0", 10] and not known["u1", 9] and kept[-1] >= 51
+    found, state = run(5 * day * 1000)
+    assert not found["u0", 3]                      # within its life
+    assert found["u1", 9] and found["u0", 10]      # forgotten in between
+    assert not found["u1", 10] and max(state) >= 50 and state[-1] < 20
+
+
+def test_state_life_by_the_clock(spark):
+    schema = "user_id string, ts long"
+    path = work_dir(spark, "source")
+    rows = [spark.createDataFrame([("u", 1000), ("v", 1000)], schema),
+            spark.createDataFrame([("u", 2000)], schema)]
+    rows[0].coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path)
+    firsts = rules.new_days(stream, {"_user": F.col("user_id")}, F.col("ts"), life_ms=3_000)
+    out = work_dir(spark, "out")
+    query = sinks.start(sinks.to_files(firsts.select("user_id", "ts"), out), work_dir(spark, "ck"),
+                        "500 milliseconds")
+    read = lambda: sorted(map(tuple, spark.read.schema(schema).parquet(out).collect())) if (
+        os.path.exists(f"{out}/_spark_metadata")) else []
+    try:
+        deadline = time.monotonic() + 60
+        while len(read()) < 2 and time.monotonic() < deadline:
+            query.awaitTermination(1)
+        time.sleep(5)
+        rows[1].coalesce(1).write.mode("append").parquet(path)  # the same day, a life later
+        while len(read()) < 3 and time.monotonic() < deadline:
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    assert read() == [("u", 1000), ("u", 2000), ("v", 1000)]
+
+
 def test_order_wide_on_streams(replay, spark, sf):
     """Inner and two outer stream joins in a row. Sides must meet within the wait, so the expected
     rows are the batch rows whose order came within it; unmatched sides come out late."""

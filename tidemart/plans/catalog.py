@@ -355,13 +355,14 @@ def _taken(rows: DataFrame, name: str, keys: Sequence[str] = (), mode: str = "up
     return sinks.current(spark, path, keys) if keys else spark.read.schema(schema).parquet(path)
 
 
-def _run(writer: DataStreamWriter, spark: SparkSession, name: str) -> None:
+def _run(writer: DataStreamWriter, spark: SparkSession, name: str,
+         checkpoint: str | None = None) -> None:
     """Run a query until its source has nothing new."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
     # one state store per core; a stream keeps the number it starts with
     spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     try:
-        query = sinks.start(writer, work_dir(spark, f"{name}-checkpoint"))
+        query = sinks.start(writer, checkpoint or work_dir(spark, f"{name}-checkpoint"))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     query.awaitTermination()
@@ -437,6 +438,99 @@ def stream_change_tables(spark: SparkSession, sf: str) -> DataFrame:
     return facts.coupon_order(feeds.stored_changes(spark, path, "coupon_use", stream=False))
 
 
+# A shop's orders a minute apart; rows may come an hour late, and what belongs together waits so long.
+LATE_SECONDS, DELAY, WAIT, HOLD_MS = 3600, "2 hours", "1 hour", 3600 * 1000
+
+
+def _parts(rows: DataFrame, parts: int = 3) -> list[DataFrame]:
+    """Change or fact rows cut by time; a third of those in the last hour before a cut come after it."""
+    at, late = F.col("ts").cast("bigint"), F.xxhash64(*rows.columns) % 3 == 0
+    ends = rows.select(at.cast("double").alias("at")).approxQuantile(
+        "at", [k / parts for k in range(1, parts)], 0.01)
+    number = F.lit(0)
+    for end in ends:
+        number = number + (at > F.when(late, end - LATE_SECONDS).otherwise(end)).cast("int")
+    return [rows.filter(number == k) for k in range(parts)]
+
+
+def _closing(rows: DataFrame, days: int, **changed: str) -> DataFrame:
+    """A row long after all others with other values in some columns; it moves the watermark on."""
+    end = rows.agg(F.max(F.col("ts").cast("bigint")).alias("end"))
+    return rows.limit(1).crossJoin(end).withColumns({
+        "ts": (F.col("end") + days * 86_400).cast("string"),
+        **{name: F.lit(value) for name, value in changed.items()}}).select(*rows.columns)
+
+
+def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """An inner and two outer stream joins in a row, over four tables in several micro-batches with
+    late rows; what finds no partner comes out once the watermark has passed its wait."""
+    tables = standin.written_together(standin.table_changes(spark, sf, *standin.ORDERING))
+    streams = {}
+    for name, rows in tables.items():
+        path = work_dir(spark, name)
+        key = "order_detail_id" if name.startswith("order_detail_") else "id"
+        closing = rows.withColumn("data", F.col("data").withField(key, F.lit(f"closing {name}")))
+        if name == "order_detail":  # a row that the filters ahead of the joins let through
+            closing = closing.withColumn("data", F.col("data").withField("order_id", F.lit("none"))
+                                         .withField("source_type", F.lit("2401")))
+        # what the second join passes on at the first closing is the third one's at the second
+        for part in [*_parts(rows), *(_closing(closing, days, type="insert") for days in (10, 20))]:
+            part.coalesce(1).write.mode("append").parquet(path)
+        streams[name] = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+                         .parquet(path))
+    wide = facts.order_wide(streams, standin.dictionary(spark), facts.Bounds(WAIT, DELAY))
+    return _taken(wide.withColumn("old_status", F.col("old")["order_status"])
+                  .drop("old", "row_op_ts"), "wide")
+
+
+def _in_turn(rows: DataFrame, name: str, settle: Callable[[DataFrame], DataFrame],
+             window: Callable[[DataFrame], DataFrame], closing: list[DataFrame],
+             keys: Sequence[str]) -> DataFrame:
+    """Two jobs started in turn as their input grows: settled versions, then windows over them.
+    Each goes on from its checkpoint."""
+    spark = rows.sparkSession
+    source, held, out = (work_dir(spark, f"{name}-{part}") for part in ("in", "settled", "out"))
+    for part in [*_parts(rows), *closing]:
+        part.select(*rows.columns).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        settled = settle(stream)
+        _run(sinks.to_files(settled, held), spark, f"{name}-settled", f"{held}-checkpoint")
+        stored = feeds.table_rows(spark, held, settled.schema, stream=True)
+        _run(sinks.to_upserts(window(stored), out, keys, mode="append"), spark, name,
+             f"{out}-checkpoint")
+    return sinks.current(spark, out, keys)
+
+
+def _details_together(spark: SparkSession, sf: str) -> DataFrame:
+    tables = standin.written_together(standin.table_changes(spark, sf, *standin.ORDERING))
+    wide = facts.order_wide(tables, standin.dictionary(spark))
+    details = facts.order_detail(wide).drop("row_op_ts")
+    path = work_dir(spark, "details")
+    details.write.parquet(path)
+    return spark.read.schema(details.schema).parquet(path)
+
+
+def _settled_details(rows: DataFrame) -> DataFrame:
+    return jobs.settled_details(rows, "id", DETAIL_VERSION, HOLD_MS, DELAY)
+
+
+def stream_order_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions of details, some late and out of order, settled on event time; then users and
+    amounts per day."""
+    details = _details_together(spark, sf)
+    closing = [_closing(details, days, id=f"closing {days}") for days in (10, 20)]
+    return _in_turn(details, "order-window", _settled_details,
+                    lambda rows: jobs.order_window(rows, DAY), closing, ["stt"])
+
+
+def stream_province_window(spark: SparkSession, sf: str) -> DataFrame:
+    details = _details_together(spark, sf)
+    closing = [_closing(details, days, id=f"closing {days}") for days in (10, 20)]
+    counts = _in_turn(details, "province-window", _settled_details,
+                      lambda rows: jobs.province_counts(rows, DAY), closing, ["stt", "province_id"])
+    return summaries.province_names(counts, standin.provinces(spark, sf))
+
+
 def stream_unique_visitor_daily(spark: SparkSession, sf: str) -> DataFrame:
     rows = rules.daily_visitors(standin.pages(spark, sf, stream=True), TIE)
     return _taken(rows.select("event_id", "common.*", "page.*", "ts"), "visitors")
@@ -502,4 +596,5 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     left_lookup, two_key_lookup, click_filter_count, stream_new_visitor_repair,
     stream_bounce_detail, stream_unique_visitor_daily, stream_login_days, stream_page_visitors, stream_keyword_window,
     stream_register_window, stream_traffic_window, stream_cart_delta, stream_refund_detail,
-    stream_changelog_count, stream_log_split, stream_change_tables)}
+    stream_changelog_count, stream_log_split, stream_change_tables, stream_order_wide,
+    stream_order_window, stream_province_window)}

@@ -495,6 +495,15 @@ ORACLE["stream_page_visitors"] = _log("""
 SELECT mid, page_id, min(ts) AS ts
 FROM page WHERE page_id IN ('home', 'good_detail') GROUP BY mid, page_id, day""")
 
+# An order and all that belongs to it are written at one moment.
+_SECS = "CAST(epoch({}) AS BIGINT) + {} * 7919 % 86400 AS secs"
+_LINES_TOGETHER = _LINES.replace(_SECS.format("l_shipdate", "l_orderkey"),
+                                 "1700000000 + l_orderkey * 60 AS secs")
+_ORDERS_TOGETHER = _ORDERS.replace(_SECS.format("o_orderdate", "o_orderkey"),
+                                   "1700000000 + o_orderkey * 60 AS secs")
+ORACLE.update({f"stream_{name}": ORACLE[name].replace(_LINES, _LINES_TOGETHER).replace(
+    _ORDERS, _ORDERS_TOGETHER) for name in ("order_wide", "order_window", "province_window")})
+
 # The same rows, however the feed arrives.
 ORACLE["change_text"] = ORACLE["stream_change_tables"] = ORACLE["coupon_order"]
 

@@ -45,15 +45,17 @@ def traffic_window(pages: DataFrame, bounced: DataFrame, visitors: DataFrame, si
                     {name: F.sum(name) for name in summaries.MEASURES}, size)
 
 
-def home_detail_window(pages: DataFrame, size: str = SIZE) -> DataFrame:
-    firsts = rules.daily_page_visitors(timed_by_ms(pages), event_time=AT)
+def home_detail_window(pages: DataFrame, size: str = SIZE,
+                       life_ms: int | None = None) -> DataFrame:
+    firsts = rules.daily_page_visitors(timed_by_ms(pages), event_time=AT, life_ms=life_ms)
     return tumbling(firsts, F.col(AT), [], {
         "home_uv": F.count_if(F.col("page_id") == "home"),
         "detail_uv": F.count_if(F.col("page_id") == "good_detail")}, size)
 
 
-def login_window(pages: DataFrame, size: str = SIZE, return_days: int = RETURN_DAYS) -> DataFrame:
-    logins = rules.daily_logins(timed_by_ms(pages), return_days, event_time=AT)
+def login_window(pages: DataFrame, size: str = SIZE, return_days: int = RETURN_DAYS,
+                 life_ms: int | None = None) -> DataFrame:
+    logins = rules.daily_logins(timed_by_ms(pages), return_days, event_time=AT, life_ms=life_ms)
     return tumbling(logins, F.col(AT), [],
                     {"back_ct": F.sum("back_ct"), "uu_ct": F.sum("uu_ct")}, size)
 
@@ -67,12 +69,19 @@ def _ms(rows: DataFrame) -> Column:
     return rows["ts"].try_cast("bigint") * 1000
 
 
-def cart_user_window(adds: DataFrame, size: str = SIZE) -> DataFrame:
+def cart_user_window(adds: DataFrame, size: str = SIZE, life_ms: int | None = None) -> DataFrame:
     rows = timed_by_seconds(adds.select("user_id", "ts"))
-    firsts = rules.new_days(rows, {"_user": F.col("user_id")}, _ms(rows), (AT,), event_time=AT)
+    firsts = rules.new_days(rows, {"_user": F.col("user_id")}, _ms(rows), (AT,), event_time=AT,
+                            life_ms=life_ms)
     return tumbling(firsts, F.col(AT), [], {"cart_uu_ct": F.count("*")}, size)
 
 
+def settled_details(details: DataFrame, key: str = "id", version: tuple[str, ...] = ("row_op_ts",),
+                    hold_ms: int = 5_000, delay: str = "5 seconds") -> DataFrame:
+    """One settled version of each detail on event time."""
+    return rules.settled(timed_by_seconds(details, delay), key, version, hold_ms, AT).drop(AT)
+
+
 def _marked(rows: DataFrame, day: Column) -> DataFrame:
     marks = rules.day_marks(rows.select("user_id", AT, day.alias("_of")), "user_id",
                             F.col("_of"), (AT,), event_time=AT)

@@ -42,6 +42,8 @@ class Mart:
     gap_ms: int = BOUNCE_GAP_MS
     return_days: int = RETURN_DAYS
     hold_ms: int = 5_000
+    #: how late versions may come; with it details settle on event time instead of the clock
+    settle_delay: str | None = None
     order_bounds: facts.Bounds = field(default_factory=facts.Bounds)
     payment_bounds: facts.Bounds = facts.PAYMENT_BOUNDS
 
@@ -68,6 +70,12 @@ class Mart:
                                 files_per_trigger=self.files_per_trigger)
         return rows.drop("batch")
 
+    def settled(self, name: str, key: str) -> DataFrame:
+        if self.settle_delay is None:
+            return rules.settled(self.fact(name), key, hold_ms=self.hold_ms)
+        return jobs.settled_details(self.fact(name), key, hold_ms=self.hold_ms,
+                                    delay=self.settle_delay)
+
     def dictionary(self) -> DataFrame:
         return feeds.dictionary(self.spark, f"{self.root}/dim/dictionary").select(
             "dic_code", "dic_name")
@@ -106,12 +114,13 @@ def job(make: Job) -> Job:
     return make
 
 
-# Jobs with processing-time timers: they always have a next micro-batch and never run out.
+# Jobs with processing-time timers: they always have a next micro-batch and never run out, unless
+# details settle on event time.
 ON_THE_CLOCK = ("order_settled", "payment_settled")
 
 
 def run(mart: Mart, name: str, every: str | None = None) -> StreamingQuery:
-    if name in ON_THE_CLOCK and every is None:
+    if name in ON_THE_CLOCK and every is None and mart.settle_delay is None:
         raise ValueError(f"{name} needs a trigger interval")
     return sinks.start(JOBS[name](mart), f"{mart.root}/checkpoint/{name}", every)
 
@@ -237,14 +246,12 @@ def user_register(mart: Mart) -> DataStreamWriter:
 @job
 def order_settled(mart: Mart) -> DataStreamWriter:
     """One settled version per order detail, shared by the three order summaries."""
-    return mart.to_fact(rules.settled(mart.fact("order_detail"), hold_ms=mart.hold_ms),
-                        "order_settled")
+    return mart.to_fact(mart.settled("order_detail", "id"), "order_settled")
 
 
 @job
 def payment_settled(mart: Mart) -> DataStreamWriter:
-    return mart.to_fact(rules.settled(mart.fact("payment_success"), "order_detail_id",
-                                      hold_ms=mart.hold_ms), "payment_settled")
+    return mart.to_fact(mart.settled("payment_success", "order_detail_id"), "payment_settled")
 
 
 # --- summaries ---------------------------------------------------------------------------------
