@@ -12,7 +12,7 @@ from tidemart.operators import changes, logs, versions, visits, windows
 from tidemart.plans import catalog, facts, summaries
 from tidemart.session import work_dir
 from tidemart.sources import feeds, standin
-from tidemart.streaming import jobs, rules, sinks
+from tidemart.streaming import jobs, live, rules, sinks
 
 TIE, HOUR, DAY = catalog.TIE, catalog.HOUR, catalog.DAY
 
@@ -438,3 +438,49 @@ def test_repeated_batch_leaves_upserts_unchanged(spark):
     target = work_dir(spark, "folded")
     sinks.rewrite(spark, path, target, ["k"])
     assert {tuple(r) for r in sinks.current(spark, target, ["k"]).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_dictionary_that_changes_while_the_query_runs(spark):
+    """Names are those of the micro-batch; rows of a code that comes later wait; one code is dealt
+    over shares."""
+    schema = "id long, code string, note string"
+    facts_of = [[(1, "a", "x"), (2, "b", None), (3, None, "null code"), (4, "never", "y")],
+                [(5, "a", None), (6, "b", "z")], [(7, "a", "w"), (8, "b", "v")]]
+    entries = [[], [("b", "bee", 1)], [("a", "new a", 3), ("a", "middle a", 2)]]
+    stored = spark.createDataFrame([("a", "old a"), ("c", "unused")], "dic_code string, dic_name string")
+    rows = in_batches(spark, schema, *facts_of)
+    found = live.named_live(rows, in_batches(spark, live.ENTRY, *entries), stored, "code", "name")
+    out = work_dir(spark, "out")
+    query = sinks.start(sinks.to_files(found, out), work_dir(spark, "ck"))
+    assert query.awaitTermination(120)
+    got = sorted(map(tuple, spark.read.schema(found.schema).parquet(out).collect()))
+    assert got == [(1, "a", "x", "old a"), (2, "b", None, "bee"), (5, "a", None, "old a"),
+                   (6, "b", "z", "bee"), (7, "a", "w", "new a"), (8, "b", "v", "bee")]
+
+
+def test_changelog_with_retractions(spark):
+    schema = "user string, sign int"
+    batches = [[("a", 1), ("a", 1), ("b", 1), (None, 1)], [("a", -1), ("b", -1), ("c", -1)],
+               [("a", 0), ("b", 1), ("c", 1), ("c", 1)]]
+    rows = live.changelog(in_batches(spark, schema, *batches), "user", "sign")
+    out = work_dir(spark, "out")
+    sinks.start(sinks.to_upserts(rows, out, ["user"], mode="append"),
+                work_dir(spark, "ck")).awaitTermination()
+    per = {}
+    for r in spark.read.option("basePath", out).parquet(out).collect():
+        per.setdefault((r.batch, r.user), []).append((r.kind, r.row_count))
+    assert per == {(0, "a"): [("+I", 2)], (0, "b"): [("+I", 1)], (0, None): [("+I", 1)],
+                   (1, "a"): [("-U", 2), ("+U", 1)], (1, "b"): [("-D", 1)],
+                   (2, "b"): [("+I", 1)], (2, "c"): [("+I", 1)]}
+    total = live.net(spark.read.parquet(out), "user")
+    assert {(r.user, r.row_count) for r in total.collect()} == {
+        ("a", 1), ("b", 1), (None, 1), ("c", 1)}
+
+
+def test_retracted_keys_leave_an_upsert_target(spark):
+    path = work_dir(spark, "out")
+    schema = "user string, row_count long, kind string"
+    for number, rows in enumerate([[("a", 2, "+I"), ("b", 1, "+I")], [("b", 1, "-D")]]):
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/batch={number}")
+    found = sinks.current(spark, path, ["user"], gone="kind = '-D'")
+    assert [tuple(r) for r in found.collect()] == [("a", 2, "+I")]

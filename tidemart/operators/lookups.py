@@ -7,13 +7,19 @@ joins it by shuffle and AQE turns that into a broadcast when what it has read is
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def name_of(rows: DataFrame, dictionary: DataFrame, code: str, name: str) -> DataFrame:
+#: A dictionary table, or what adds the name of a code to rows (rows, code, name) in its own way.
+Dictionary = DataFrame | Callable[[DataFrame, str, str], DataFrame]
+
+
+def name_of(rows: DataFrame, dictionary: Dictionary, code: str, name: str) -> DataFrame:
     """Add the dictionary name of a code; rows whose code has no entry are lost."""
+    if not isinstance(dictionary, DataFrame):
+        return dictionary(rows, code, name)
     entries = dictionary.select(F.col("dic_code").alias("_code"), F.col("dic_name").alias(name))
     return rows.join(entries, rows[code] == entries["_code"], "inner").drop("_code")
 

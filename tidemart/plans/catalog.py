@@ -15,7 +15,7 @@ from tidemart.operators import changes, dimensions, logs, lookups, versions, vis
 from tidemart.plans import facts, summaries
 from tidemart.session import work_dir
 from tidemart.sources import feeds, standin
-from tidemart.streaming import jobs, rules, sinks
+from tidemart.streaming import jobs, live, rules, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -531,6 +531,33 @@ def stream_province_window(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.province_names(counts, standin.provinces(spark, sf))
 
 
+def stream_comment_dic(spark: SparkSession, sf: str) -> DataFrame:
+    """Comments in several micro-batches against a dictionary that grows meanwhile."""
+    rows = facts.comments(standin.table_changes(spark, sf, "comment_info"))
+    entries = standin.dictionary(spark).select("dic_code", "dic_name")
+    late = {"1202": 1, "1203": 2, "1204": 3}
+    path = work_dir(spark, "dictionary")
+    for number in range(4):
+        named = [code for code, at in late.items() if at == number]
+        entries.filter(F.col("dic_code").isin(*named) if named else F.lit(False)).withColumn(
+            "version", F.lit(number).cast("bigint")).coalesce(1).write.mode("append").parquet(path)
+    growing = (spark.readStream.schema(live.ENTRY)
+               .option("maxFilesPerTrigger", 1).parquet(path))
+    found = live.named_live(_replayed(rows, "comments"), growing,
+                            entries.filter(~F.col("dic_code").isin(*late)), "appraise_code",
+                            "appraise_name")
+    return _taken(found, "comments-named")
+
+
+def stream_changelog_retract(spark: SparkSession, sf: str) -> DataFrame:
+    """Events per user, errors taking one away, as a changelog; what it adds up to in the end."""
+    events = standin.table(spark, sf, "events").select(
+        "user_id", F.when(F.col("event_type") == "error", -1).otherwise(1).alias("sign"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
+    return live.net(_taken(live.changelog(_replayed(events, "signed"), "user_id", "sign"),
+                           "changelog"), "user_id")
+
+
 def stream_unique_visitor_daily(spark: SparkSession, sf: str) -> DataFrame:
     rows = rules.daily_visitors(standin.pages(spark, sf, stream=True), TIE)
     return _taken(rows.select("event_id", "common.*", "page.*", "ts"), "visitors")
@@ -597,4 +624,4 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     stream_bounce_detail, stream_unique_visitor_daily, stream_login_days, stream_page_visitors, stream_keyword_window,
     stream_register_window, stream_traffic_window, stream_cart_delta, stream_refund_detail,
     stream_changelog_count, stream_log_split, stream_change_tables, stream_order_wide,
-    stream_order_window, stream_province_window)}
+    stream_order_window, stream_province_window, stream_comment_dic, stream_changelog_retract)}

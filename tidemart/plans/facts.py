@@ -11,7 +11,7 @@ from tidemart.functions.clock import day_text, from_seconds_text
 from tidemart.functions.numbers import product_text
 from tidemart.operators.changes import (Log, became, changed, extract, grew, increase,
                                         moved)
-from tidemart.operators.lookups import name_of
+from tidemart.operators.lookups import Dictionary, name_of
 from tidemart import schemas as S
 
 
@@ -41,7 +41,7 @@ def _near(left: DataFrame, right: DataFrame, left_at: str, right_at: str,
     return [right[right_at] >= left[left_at] - wait, right[right_at] <= left[left_at] + wait]
 
 
-def cart_add(log: Log, dic: DataFrame) -> DataFrame:
+def cart_add(log: Log, dic: Dictionary) -> DataFrame:
     rows = extract(log, "cart_info", ["id", "user_id", "sku_id", "source_id", "source_type"],
                    where=grew("sku_num"), rename={"source_type": "source_type_code"},
                    extra={"sku_num": increase("sku_num"), "ts": F.col("ts")})
@@ -50,7 +50,7 @@ def cart_add(log: Log, dic: DataFrame) -> DataFrame:
         "sku_num", "ts")
 
 
-def order_wide(log: Log, dic: DataFrame, bounds: Bounds | None = None) -> DataFrame:
+def order_wide(log: Log, dic: Dictionary, bounds: Bounds | None = None) -> DataFrame:
     """Order detail with its order, its optional activity and coupon, and the source name."""
     detail = extract(
         log, "order_detail",
@@ -122,7 +122,7 @@ def order_cancel(wide: DataFrame) -> DataFrame:
         *_DETAIL_AMOUNTS, F.col("oi_ts").alias("ts"), "row_op_ts")
 
 
-def payment_success(log: Log, details: DataFrame, dic: DataFrame,
+def payment_success(log: Log, details: DataFrame, dic: Dictionary,
                     bounds: Bounds | None = None) -> DataFrame:
     """Successful payments spread over the details of their order."""
     paid = extract(log, "payment_info", ["order_id", "payment_type", "callback_time"],
@@ -142,7 +142,7 @@ def payment_success(log: Log, details: DataFrame, dic: DataFrame,
         "ts", "row_op_ts")
 
 
-def refund_request(log: Log, dic: DataFrame, bounds: Bounds | None = None) -> DataFrame:
+def refund_request(log: Log, dic: Dictionary, bounds: Bounds | None = None) -> DataFrame:
     """Refund requests of orders that have just turned to refunding."""
     refund = extract(
         log, "order_refund_info",
@@ -167,7 +167,7 @@ def refund_request(log: Log, dic: DataFrame, bounds: Bounds | None = None) -> Da
         F.current_timestamp().alias("row_op_ts"))
 
 
-def refund_paid(log: Log, dic: DataFrame, bounds: Bounds | None = None) -> DataFrame:
+def refund_paid(log: Log, dic: Dictionary, bounds: Bounds | None = None) -> DataFrame:
     """Completed refund payments, with their order and the refunded item."""
     paid = extract(log, "refund_payment",
                    ["id", "order_id", "sku_id", "payment_type", "callback_time", "total_amount"],
@@ -225,12 +225,15 @@ def favor_add(log: Log) -> DataFrame:
                    extra={"date_id": day_text(made), "create_time": made, "ts": F.col("ts")})
 
 
-def comment_add(log: Log, dic: DataFrame) -> DataFrame:
+def comments(log: Log) -> DataFrame:
     made = F.col("data")["create_time"]
-    rows = extract(log, "comment_info", ["id", "user_id", "sku_id", "order_id", "appraise"],
+    return extract(log, "comment_info", ["id", "user_id", "sku_id", "order_id", "appraise"],
                    types=["insert"], rename={"appraise": "appraise_code"},
                    extra={"date_id": day_text(made), "create_time": made, "ts": F.col("ts")})
-    return name_of(rows, dic, "appraise_code", "appraise_name").select(
+
+
+def comment_add(log: Log, dic: Dictionary) -> DataFrame:
+    return name_of(comments(log), dic, "appraise_code", "appraise_name").select(
         "id", "user_id", "sku_id", "order_id", "date_id", "create_time", "appraise_code",
         "appraise_name", "ts")
 

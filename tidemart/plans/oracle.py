@@ -495,6 +495,11 @@ ORACLE["stream_page_visitors"] = _log("""
 SELECT mid, page_id, min(ts) AS ts
 FROM page WHERE page_id IN ('home', 'good_detail') GROUP BY mid, page_id, day""")
 
+ORACLE["stream_comment_dic"] = ORACLE["comment_dic"]
+ORACLE["stream_changelog_retract"] = """
+SELECT user_id, CAST(sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) AS BIGINT) AS row_count
+FROM events GROUP BY 1 HAVING sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) > 0"""
+
 # An order and all that belongs to it are written at one moment.
 _SECS = "CAST(epoch({}) AS BIGINT) + {} * 7919 % 86400 AS secs"
 _LINES_TOGETHER = _LINES.replace(_SECS.format("l_shipdate", "l_orderkey"),

@@ -21,12 +21,13 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from tidemart import schemas as S
 from tidemart.operators.logs import parse_text
+from tidemart.operators.lookups import Dictionary
 from tidemart.operators.visits import BOUNCE_GAP_MS, RETURN_DAYS
 from tidemart.operators.windows import SIZE
 from tidemart.plans import facts, summaries
 from tidemart.session import build
 from tidemart.sources import feeds
-from tidemart.streaming import jobs, rules, sinks
+from tidemart.streaming import jobs, live, rules, sinks
 
 
 @dataclass
@@ -44,6 +45,7 @@ class Mart:
     hold_ms: int = 5_000
     #: how late versions may come; with it details settle on event time instead of the clock
     settle_delay: str | None = None
+    live_dictionary: bool = False
     order_bounds: facts.Bounds = field(default_factory=facts.Bounds)
     payment_bounds: facts.Bounds = facts.PAYMENT_BOUNDS
 
@@ -76,9 +78,16 @@ class Mart:
         return jobs.settled_details(self.fact(name), key, hold_ms=self.hold_ms,
                                     delay=self.settle_delay)
 
-    def dictionary(self) -> DataFrame:
-        return feeds.dictionary(self.spark, f"{self.root}/dim/dictionary").select(
+    def dictionary(self) -> Dictionary:
+        """The dictionary table; with `live_dictionary`, as its changes in `dim/dictionary_changes`
+        (dic_code, dic_name, version) make it while the job runs."""
+        stored = feeds.dictionary(self.spark, f"{self.root}/dim/dictionary").select(
             "dic_code", "dic_name")
+        if not self.live_dictionary:
+            return stored
+        changes = feeds.table_rows(self.spark, f"{self.root}/dim/dictionary_changes",
+                                   live.ENTRY, stream=True, files_per_trigger=self.files_per_trigger)
+        return lambda rows, code, name: live.named_live(rows, changes, stored, code, name)
 
     def routing(self) -> DataFrame:
         return feeds.routing(self.spark, f"{self.root}/dim/routing")

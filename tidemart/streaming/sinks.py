@@ -65,11 +65,13 @@ def to_upserts(rows: DataFrame, path: str, keys: Sequence[str], version: Sequenc
     return rows.writeStream.outputMode(mode).foreachBatch(write)
 
 
-def current(spark: SparkSession, path: str, keys: Sequence[str],
-            version: Sequence[str] = ()) -> DataFrame:
-    """Newest row per key of an upsert target; later batches win over earlier ones."""
+def current(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str] = (),
+            gone: str | None = None) -> DataFrame:
+    """Newest row per key of an upsert target; later batches win over earlier ones. A key whose newest
+    row meets `gone` has been retracted and is left out."""
     rows = spark.read.option("basePath", path).parquet(path)
-    return latest_per_key(rows, list(keys), [*version, "batch"]).drop("batch")
+    newest = latest_per_key(rows, list(keys), [*version, "batch"]).drop("batch")
+    return newest.filter(~F.coalesce(F.expr(gone), F.lit(False))) if gone else newest
 
 
 def rewrite(spark: SparkSession, path: str, target: str, keys: Sequence[str],
