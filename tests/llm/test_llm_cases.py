@@ -216,6 +216,116 @@ def test_dictionary_on_any_rows(spark, texts):
     assert token_files.read(manifest, folder).count() == len(texts)
 
 
+def test_no_secret_is_lost_to_what_stands_beside_it(spark):
+    """Matches and sample words take only themselves and their surroundings out of long candidates."""
+    rng = random.Random(8)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    noise = lambda n: "".join(rng.choice(symbols) for _ in range(n))
+    long_hex = "0123456789abcdef0a1b2c3d4e"
+    texts = [noise(200) + "Z" + long_hex + "Z" + noise(200), noise(200) + "dummy" + noise(200),
+             noise(190) + "12345678" + noise(202), "path/to/example/" + noise(60),
+             "token = EXAMPLEEXAMPLEEXAMPLE1", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", noise(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {}
+    for r in secret_scan.scan(table).collect():
+        found[r.doc_id] = [(k, int(a), int(b)) for k, a, b in (
+            one.split(":") for one in r.spans.split(",") if one)]
+    covered = lambda k, a, b: sum(max(0, min(b, y) - max(a, x)) for n, x, y in found[k]
+                                  if n == "entropy_base64")
+    assert ("hex", 201, 227) in found[0] and covered(0, 0, 200) > 150 and covered(0, 228, 428) > 150
+    assert covered(0, 201, 227) == 0
+    assert covered(1, 0, 180) > 140 and covered(1, 225, 405) > 140 and covered(1, 180, 225) == 0
+    assert covered(2, 0, 170) > 130 and covered(2, 218, 400) > 140
+    assert covered(3, 35, 76) >= 20 and not any(n.startswith("entropy") for n, *_ in found[4] + found[5])
+    assert covered(6, 0, 400) > 340
+
+
+def test_spans_by_brute_force(spark):
+    """Both classes, with matches and sample words in all places."""
+    rng = random.Random(4)
+    parts = ["secret=hunter22", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "dummy", "qwerty", " ", "/",
+             "a" * 30, "f0e1d2c3b4a5968778695a4b3c2d1e0f", "Zx9_", "é"]
+    symbols = secret_scan.CLASSES["entropy_base64"][0]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.3 else "".join(
+        rng.choice(symbols) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 6)))
+        for _ in range(150)]
+    re_ = __import__("re")
+    width, log2 = secret_scan.WINDOW, __import__("math").log2
+
+    def entropy(window):
+        return log2(width) - sum(c * log2(c) for c in (window.count(x) for x in set(window))) / width
+
+    def expected(text, base):
+        cuts = [(a, b) for _, a, b in base] + [
+            (m.start() - width, m.end() + width) for m in re_.finditer(secret_scan.SAMPLES, text)]
+        out = []
+        for kind, (_, written, least) in secret_scan.CLASSES.items():
+            for m in re_.finditer(f"[{written}]{{{width},}}", text):
+                if any(re_.search(p, m.group()) for p in secret_scan.ALLOWED):
+                    continue
+                hot = [i for i in range(m.start(), m.end() - width + 1)
+                       if entropy(text[i:i + width]) >= least - 1e-9]
+                merged = []
+                for i in hot:
+                    if merged and i <= merged[-1][1]:
+                        merged[-1][1] = i + width
+                    else:
+                        merged.append([i, i + width])
+                for a, b in merged:
+                    free = [p for p in range(a, b) if not any(x <= p < y for x, y in cuts)]
+                    runs = []
+                    for p in free:
+                        if runs and p == runs[-1][1]:
+                            runs[-1][1] = p + 1
+                        else:
+                            runs.append([p, p + 1])
+                    out += [(kind, x, y) for x, y in runs if y - x >= width]
+        return sorted(out + base)
+
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in secret_scan.scan(table).collect():
+        got = [(k, int(a), int(b)) for k, a, b in (o.split(":") for o in r.spans.split(",") if o)]
+        base = [s for s in got if not s[0].startswith("entropy")]
+        assert sorted(got) == expected(texts[r.doc_id], base), texts[r.doc_id]
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """Repeated rows of a doc_id and repeated labels don't widen what reaches the driver."""
+    docs = spark.range(2000).select((F.col("id") % 10).alias("doc_id"),
+                                    F.concat(F.lit("words and more "), "id").alias("text"))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(10)] * 5,
+                                   "doc_id long, quality int, toxic int")
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append(len(y)) or train(x, y))
+    quality.fit(docs, labels, most=4)
+    quality.fit(docs, labels)
+    assert seen[0] <= 4 and seen[1] <= 10
+
+
+def test_the_survivor_of_repeated_ids_is_stated(spark):
+    rows = [(1, "a", "x", 5, {"k": "v"}), (1, "A", "y", 6, {"k": "w"}), (2, "b c d e f", "z", 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep_code string, keep_id int, "
+                                       "more map<string, string>")
+    found = simhash.one_of_each(docs)
+    assert found.columns == docs.columns
+    kept = sorted((r.doc_id, r.text) for r in found.collect())
+    again = sorted((r.doc_id, r.text) for r in simhash.one_of_each(
+        docs.orderBy(F.desc("text")).repartition(3)).collect())
+    assert kept == again and len(kept) == 2
+
+
+@pytest.mark.parametrize("size", [4, 64])
+def test_payloads_of_many_segments(spark, size):
+    """Segments are joined once: sixteen times the payload isn't 256 times the work."""
+    pages = spark.range(1).select(F.lit(1).cast("long").alias("page_id"), F.lit("u").alias("url"),
+                                  F.repeat(F.lit("0123456789abcdef" * 4), size << 14).alias("html"))
+    row = warc.archived(pages).first()
+    assert row.payload_bytes == size << 20
+    assert row.payload_digest == __import__("hashlib").sha1(
+        b"0123456789abcdef" * 4 * (size << 14)).hexdigest()
+
+
 def test_shard_access(spark, docs):
     folder = work_dir(spark, "shards")
     manifest = token_files.write(docs, TOKENIZER, folder, shards=2)

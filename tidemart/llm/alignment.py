@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemart.llm.common import small_batches
+from tidemart.llm.common import byte_batches
 from tidemart.llm.token_files import Encoder
 from tidemart.session import work_dir
 
@@ -279,7 +279,7 @@ def _stored(size: int, **columns) -> pa.RecordBatch:
 
 def store(docs: DataFrame, bytes_path: str, pieces_path: str, folder: str) -> None:
     """Aligns all documents and writes them, and the pairs of each chunk, below the folder."""
-    small_batches(docs.sparkSession, BATCH_BYTES)
+    byte_batches(docs.sparkSession, BATCH_BYTES)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, chunk = aligner(bytes_path, pieces_path), Chunk()

@@ -14,13 +14,20 @@ from tidemart.session import work_dir
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
-#: One Arrow batch to Python has at most so many rows, and ends at so many bytes.
-BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
+#: Rows of one Arrow batch to Python; texts of 100 kB make larger batches heavy.
+BATCH_ROWS = 512
+#: Rows of a batch whose bytes are bounded too, and the bytes.
+WIDE_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
-def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Whole texts go to Python in batches of about so many bytes, whatever their number."""
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in small batches, whatever their number."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def byte_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Whole texts go to Python in batches of about so many bytes, whatever their number."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WIDE_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 

@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemart.llm.common import byte_batches
+
 #: Standard deviations of the smoothed values that a content node has at least.
 THRESHOLD = 0.5
 #: Gaussian weights of a node and its neighbours at distance 1 and 2.
@@ -314,6 +316,7 @@ def main_text(source: Column) -> Column:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points), root (the article's tag path)."""
+    byte_batches(pages.sparkSession)
     found = pages.select("page_id", "url", main_text(F.col("html")).alias("found"))
     return found.select("page_id", "url", F.col("found.text").alias("text"),
                         F.length("found.text").cast("bigint").alias("n_chars"),

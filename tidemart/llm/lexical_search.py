@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemart.llm.common import as_bytes, lowered_bytes, small_batches, written
+from tidemart.llm.common import as_bytes, byte_batches, lowered_bytes, written
 
 TOP = 10
 #: Different terms of the queries that are searched together.
@@ -366,7 +366,7 @@ def _ranked(docs: DataFrame, queries: Queries) -> DataFrame:
 
 def ranked(docs: DataFrame, queries: DataFrame, most_terms: int = BLOCK_TERMS) -> DataFrame:
     """The highest-scoring documents of each query: item_id, rank, doc_id, score."""
-    small_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession)
     queries = queries.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     out = None
     for block in query_blocks(queries, most_terms):

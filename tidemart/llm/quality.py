@@ -140,7 +140,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
-    """Trees for `labels.quality`, from documents that aren't held out."""
+    """Trees for `labels.quality`, from at most `most` documents that aren't held out. Of rows that
+    share a doc_id one is learnt from: the least statistics, with the highest label."""
     small_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()
                           & ~held_out(F.col("doc_id")))
@@ -150,8 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
                           < min(scale, most * scale // max(n, 1)))
     # statistics first: what is joined is a few numbers per document, not its text
     measured = docs.select("doc_id", features(F.col("text")).alias("x"))
-    rows = (measured.join(picked.select("doc_id", "quality"), "doc_id")
-            .orderBy("doc_id", "quality", "x").toPandas())
+    named = picked.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = (measured.join(named, "doc_id").groupBy("doc_id")
+            .agg(F.max("quality").alias("quality"), F.min("x").alias("x"))
+            .orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id").limit(most)
+            .toPandas().sort_values("doc_id"))
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return train(x, (rows["quality"].to_numpy() > 0).astype(float))
 

@@ -4,8 +4,10 @@ Three patterns find plain secrets (assignments, access keys, long hexadecimal ru
 strings of each character class (hexadecimal, base64) are walked once: a window of WINDOW characters
 slides over the candidate, the counts of its characters change by the one that enters and the one
 that leaves, and so does the sum of c * log2(c) that gives the window's Shannon entropy. Windows at
-or above the class's limit are merged to spans. Candidates on the allow list (words, identifiers,
-counting rows, stated samples) give no span, and neither do windows that overlap a pattern's match.
+or above the class's limit are merged to spans. Candidates that are nothing but words or digits give
+no span. Out of the spans are cut the patterns' matches, and the words that mark a sample with WINDOW
+characters on either side; what is left of a span stays where it is as long as a window. So neither a
+match nor a sample word takes more of a long candidate with it than its own surroundings.
 
 Sums are kept in millionths as integers, so results don't depend on the order of additions.
 
@@ -26,7 +28,7 @@ from tidemart.llm.common import let
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 ASSIGN = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
           r"([A-Za-z0-9+/_.=-]+)")
-ACCESS, HEX = "[A-Z0-9]", "[0-9a-f]"  # an access key starts with AKIA
+ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
 ASSIGN_VALUE, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 
 WINDOW = 20
@@ -34,9 +36,10 @@ WINDOW = 20
 CLASSES = {"entropy_hex": ("0123456789abcdefABCDEF", "0-9a-fA-F", 3.2),
            "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-",
                               "A-Za-z0-9+/_=-", 3.9)}
-#: What looks random and is known not to be a secret.
+#: Words that mark a sample.
+SAMPLES = "(?i:example|sample|placeholder|changeme|dummy|abcdefgh|12345678|qwerty)"
+#: Candidates that look random and are known not to be secrets.
 ALLOWED = (
-    "(?i)example|sample|placeholder|changeme|dummy|abcdefgh|12345678|qwerty",
     "^[a-z]+(?:[-_/=+][a-z]+)*$",
     "^[A-Z]?[a-z]+(?:[-_/=+]+[A-Z]?[a-z]+)*$",
     "^[A-Z]+(?:[-_/=+][A-Z]+)*$",
@@ -88,8 +91,8 @@ def base_spans(text: Column) -> Column:
     assign = F.filter(_found(text, ASSIGN, match), lambda m: F.length(
         F.regexp_extract(m["value"], ASSIGN, 1)) >= ASSIGN_VALUE)
     # a shorter run is dropped either way, so these are found with their length at once
-    access = _found(text, f"AKIA{ACCESS}{{{ACCESS_CHARS - 4},}}", match)
-    long_hex = _found(text, f"{HEX}{{{HEX_CHARS},}}", match)
+    access = _found(text, f"{ACCESS[:-1]}{{{ACCESS_CHARS - len('AKIA')},}}", match)
+    long_hex = _found(text, f"{HEX[:-1]}{{{HEX_CHARS},}}", match)
     return F.concat(*[_spans(m, k) for k, m in enumerate((assign, access, long_hex))])
 
 
@@ -155,15 +158,46 @@ def _any_like(value: Column) -> Column:
     return found
 
 
+def _around_samples(text: Column, more: Column) -> Column:
+    """Places of sample words with their surroundings, in texts that have something to cut."""
+    found = _found(text, SAMPLES, "struct<start: int, value: string>")
+    wide = F.transform(found, lambda m: F.struct(
+        (m["start"] - WINDOW).alias("start"), F.lit(-1).alias("kind"),
+        (m["start"] + F.length(m["value"]) + WINDOW).alias("end")))
+    return F.when(F.size(more) > 0, wide).otherwise(_none(SPAN))
+
+
+def _left_of(span: Column, cuts: Column) -> Column:
+    """The parts of a span outside the cuts, which come by start, as long as a window at least."""
+    zero = F.struct(span["start"].alias("at"), _none("struct<start: int, end: int>").alias("parts"))
+
+    def part(start: Column, end: Column) -> Column:
+        return F.when(end - start >= WINDOW, F.array(F.struct(
+            start.alias("start"), end.alias("end")))).otherwise(_none("struct<start: int, end: int>"))
+
+    def step(state: Column, cut: Column) -> Column:
+        return F.struct(F.greatest(state["at"], cut["end"]).alias("at"), F.concat(
+            state["parts"], part(state["at"], F.least(cut["start"], span["end"]))).alias("parts"))
+
+    parts = F.aggregate(cuts, zero, step, lambda s: F.concat(
+        s["parts"], part(s["at"], span["end"])))
+    return F.transform(parts, lambda p: F.struct(
+        p["start"].alias("start"), span["kind"].alias("kind"), p["end"].alias("end")))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id with `base` (the patterns' spans) and `spans` (all), ordered by start, then kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", base_spans(text).alias("base"),
+    rows = docs.select("doc_id", text.alias("text"), base_spans(text).alias("base"),
                        F.concat(*[entropy_spans(text, k) for k in CLASSES]).alias("more"))
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"])
-                                                 & (m["start"] < b["end"])))
-    return rows.select("doc_id", F.sort_array("base").alias("base"),
-                       F.sort_array(F.concat("base", apart)).alias("spans"))
+    cuts = F.sort_array(F.concat("base", _around_samples(F.col("text"), F.col("more"))))
+
+    def apart(cuts: Column) -> Column:
+        return F.flatten(F.transform("more", lambda m: _left_of(m, F.filter(
+            cuts, lambda c: (c["start"] < m["end"]) & (m["start"] < c["end"])))))
+
+    return rows.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat(
+        "base", F.when(F.size("more") > 0, let(cuts, apart)).otherwise(_none(SPAN)))).alias("spans"))
 
 
 def listed(found: Column) -> Column:

@@ -275,17 +275,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MOS
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
     """The documents without their near-duplicates: of each component the row with the smallest
-    doc_id stays, of repeated rows one."""
+    doc_id stays. Of rows with one doc_id and fingerprint it is the one with the least hash of its
+    columns, maps left out."""
     small_batches(docs.sparkSession)
     code = free_name(docs.columns, "simhash_code")
     stamped = written(docs.withColumn(code, fingerprint(F.col("text"), width)), "simhash-documents")
     found = grouped(stamped.select("doc_id", F.col(code).alias("code")), most)
-    first = (found.filter(F.col("code") == F.col("first"))
-             .select(F.col("code").alias("keep_code"), F.col("component_id").alias("keep_id")))
+    first = found.filter(F.col("code") == F.col("first")).select("code", "component_id").alias("f")
     kept = stamped.alias("d").join(
-        first, (F.col(f"d.{code}") == F.col("keep_code"))
-        & F.col("d.doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+        first, (F.col(f"d.{code}") == F.col("f.code"))
+        & F.col("d.doc_id").eqNullSafe(F.col("f.component_id")), "left_semi")
     place = free_name([*docs.columns, code], "simhash_place")
-    again = Window.partitionBy(code, "doc_id").orderBy(F.lit(0))
+    hashed = [field.name for field in docs.schema.fields if "map<" not in field.dataType.simpleString()]
+    again = Window.partitionBy(code, "doc_id").orderBy(F.xxhash64(*hashed), *(
+        F.col(name) for name in ("text",) if name in hashed))
     return kept.withColumn(place, F.row_number().over(again)).filter(
         F.col(place) == 1).select(*docs.columns)

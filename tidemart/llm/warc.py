@@ -37,6 +37,8 @@ from tidemart.llm.common import opened, small_batches, written
 from tidemart.session import work_dir
 
 LEAST_REVISIT = 1000
+#: Bytes of an archive read at once.
+READ = 1 << 16
 #: Bytes of a block that one record holds, and of a chunk of the HTTP framing.
 SEGMENT, CHUNK = 16_384, 4_096
 MANIFEST = "file string, n_records long, n_bytes long"
@@ -93,13 +95,14 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (by lower-case name) and block of each record of a gzip archive."""
-    packed, unpacker, held = stream.read(1 << 20), zlib.decompressobj(31), io.BytesIO()
+    # what follows a record is copied for it, so reads are small
+    packed, unpacker, held = stream.read(READ), zlib.decompressobj(31), io.BytesIO()
     while packed:
         held.write(unpacker.decompress(packed))
         if not unpacker.eof:
-            packed = stream.read(1 << 20)
+            packed = stream.read(READ)
             continue
-        packed = unpacker.unused_data or stream.read(1 << 20)
+        packed = unpacker.unused_data or stream.read(READ)
         text = held.getvalue()
         unpacker, held = zlib.decompressobj(31), io.BytesIO()
         head, found, block = text.partition(b"\r\n\r\n")
@@ -258,31 +261,34 @@ def parsed(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def reassembled(rows: DataFrame) -> DataFrame:
-    """Whole records: segments of one origin joined in order, if none is missing and their length
-    is the total that the last one states. Unsegmented records (segment 0) stay where they are."""
+    """Whole records: segments of one origin in order as `parts`, if none is missing and their length
+    is the total that the last one states. Unsegmented records (segment 0) stay where they are, with
+    their `block`. Parts are joined once, by `decoded`."""
     whole = rows.filter("segment = 0").select(
         "type", "id", "page_id", "refers_id", "refers_to", "declared", "block",
-        F.lit(None).cast("string").alias("error"), F.lit(1).cast("bigint").alias("n"))
+        F.lit(None).cast("array<binary>").alias("parts"), F.lit(None).cast("string").alias("error"),
+        F.lit(1).cast("bigint").alias("n"))
     one = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     # equal segments of repeated pages fall together and are counted
-    parts = (rows.filter("segment > 0").groupBy("origin", "segment", "block")
-             .agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in (
-                 "type", "total", "page_id", "refers_id", "refers_to", "declared")])
+    parts = (rows.filter("segment > 0").groupBy(
+                 "origin", "segment", F.length("block").alias("size"), F.sha2("block", 256).alias("of"))
+             .agg(F.count("*").alias("n"), F.first("block").alias("block"),
+                  *[F.max(c).alias(c) for c in (
+                      "type", "total", "page_id", "refers_id", "refers_to", "declared")])
              .groupBy("origin").agg(
                  *[one(c) for c in ("type", "page_id", "refers_id", "refers_to", "declared")],
                  F.max("total").alias("total"), F.max(F.when(F.col("segment") == 1, F.col("n")))
                  .alias("n"), F.sort_array(F.collect_list(F.struct("segment", "block")))
-                 .alias("parts")))
-    joined = F.aggregate("parts", F.lit(b""), lambda b, p: F.concat(b, p["block"]))
+                 .alias("parts"), F.sum("size").alias("size")))
     numbers = F.transform("parts", lambda p: p["segment"])
     complete = numbers == F.sequence(F.lit(1), F.size("parts"))
-    sized = parts.withColumn("block", joined)
     error = (F.when(~complete, F.lit("segments are missing or repeated"))
              .when(F.col("total").isNull(), F.lit("no last segment"))
-             .when(F.length("block") != F.col("total"), F.lit("another total length")))
-    segmented = sized.select(
+             .when(F.col("size") != F.col("total"), F.lit("another total length")))
+    segmented = parts.select(
         "type", F.col("origin").alias("id"), "page_id", "refers_id", "refers_to", "declared",
-        F.when(error.isNull(), F.col("block")).alias("block"), error.alias("error"),
+        F.lit(None).cast("binary").alias("block"), F.when(error.isNull(), F.transform(
+            "parts", lambda p: p["block"])).alias("parts"), error.alias("error"),
         F.coalesce("n", F.lit(1)).cast("bigint").alias("n"))
     return whole.union(segmented)
 
@@ -305,7 +311,8 @@ def decoded(rows: DataFrame, keep_payload: bool = True) -> DataFrame:
                 got, error = None, row["error"]
                 if error is None and row["type"] == "response":
                     try:
-                        got = http_payload(row["block"])
+                        whole = row["block"] if row["parts"] is None else b"".join(row["parts"])
+                        got = http_payload(whole)
                     except BadRecord as bad:
                         error = str(bad)
                 digest = hashlib.sha1(got).hexdigest() if got is not None else None
