@@ -1,5 +1,6 @@
 """Stream and batch give the same answers on time-ordered input in several micro-batches."""
 
+import json
 import os
 import shutil
 import time
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from helpers import only_in
-from tidemart.operators import changes, logs, versions, visits, windows
+from tidemart import schemas as S
+from tidemart.operators import changes, dimensions, logs, versions, visits, windows
 from tidemart.plans import catalog, facts, summaries
 from tidemart.session import work_dir
 from tidemart.sources import feeds, standin
@@ -484,3 +486,73 @@ def test_retracted_keys_leave_an_upsert_target(spark):
         spark.createDataFrame(rows, schema).write.parquet(f"{path}/batch={number}")
     found = sinks.current(spark, path, ["user"], gone="kind = '-D'")
     assert [tuple(r) for r in found.collect()] == [("a", 2, "+I")]
+
+
+def _routing_change(spark, path, *rows):
+    spark.createDataFrame([(json.dumps(row),) for row in rows], "value string").coalesce(1).write.mode(
+        "append").parquet(path)
+
+
+def test_routing_changes_fold(spark):
+    """Inserts, an update that moves a table, a delete, and lines that say nothing."""
+    one = {"source_table": "a", "sink_table": "dim_a", "sink_columns": "id", "sink_pk": "id"}
+    two = one | {"source_table": "b"}
+    lines = [{"after": one, "ts_ms": 1}, {"before": one, "after": two, "ts_ms": 2}, {"before": None},
+             {"before": two, "ts_ms": 3}, {"after": one | {"sink_columns": "id,x"}, "ts_ms": 4}]
+    raw = spark.createDataFrame([(json.dumps(line),) for line in lines] + [("no json",), (None,)],
+                                "value string")
+    changes = feeds.routing_changes(raw)
+    assert [tuple(r) for r in changes.select("source_table", "gone").orderBy("version", "gone")
+            .collect()] == [("a", False), ("b", False), ("a", True), ("b", True), ("a", False)]
+    now = dimensions.routing_now(changes.withColumn("batch", F.lit(0))).collect()
+    assert [(r.source_table, r.sink_columns) for r in now] == [("a", "id,x")]
+    assert feeds.routing_images(raw).count() == 3
+
+
+def test_routing_changes_while_a_job_runs(spark):
+    """A table taken up gets its target at once, one taken out stops, a restart knows the config, and
+    rows from before their config stay out."""
+    log, text, out = (work_dir(spark, name) for name in ("changes", "routing-text", "dims"))
+    schema = S.ENVELOPE
+
+    def rows(*images):
+        made = [("shop", table, "insert", {"id": key, "name": name}, None, ts)
+                for table, key, name, ts in images]
+        fields = "database string, table string, type string, data map<string,string>, " \
+                 "old map<string,string>, ts string"
+        frame = spark.createDataFrame(made, fields)
+        return frame.select(*(F.col(f.name).cast(f.dataType) if f.name in frame.columns
+                              else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+
+    def run():
+        source = spark.readStream.schema(schema).parquet(log)
+        routing = feeds.routing_changes(spark.readStream.schema("value string").parquet(text))
+        none = spark.createDataFrame([], S.ROUTING)
+        sinks.start(sinks.to_routed_dimensions(source, routing, out, f"{out}-history", none),
+                    f"{out}-checkpoint").awaitTermination()
+
+    a = {"source_table": "a", "sink_table": "dim_a", "sink_columns": "id", "sink_pk": "id"}
+    b = a | {"source_table": "b", "sink_table": "dim_b"}
+    _routing_change(spark, text, {"after": a, "ts_ms": 1})
+    rows(("a", "1", "x", "1"), ("b", "1", "early", "1")).write.parquet(log)
+    run()
+    assert [tuple(r) for r in sinks.dimension(spark, out, "dim_a").collect()] == [("1",)]
+    # no change of the config: the one known holds
+    rows(("a", "2", "y", "2")).write.mode("append").parquet(log)
+    run()
+    assert sinks.dimension(spark, out, "dim_a").count() == 2
+    # a target without a row yet, and a column more
+    _routing_change(spark, text, {"after": b, "ts_ms": 2},
+                    {"before": a, "after": a | {"sink_columns": "id,name"}, "ts_ms": 3})
+    run()
+    assert sinks.dimension(spark, out, "dim_b").columns == ["id"]
+    rows(("a", "3", "z", "3"), ("b", "2", "late", "3")).write.mode("append").parquet(log)
+    run()
+    found = sinks.dimension(spark, out, "dim_a").orderBy("id").collect()
+    assert [(r.id, r.name) for r in found] == [("1", None), ("2", None), ("3", "z")]
+    assert [r.id for r in sinks.dimension(spark, out, "dim_b").collect()] == ["2"]
+    _routing_change(spark, text, {"before": a, "ts_ms": 4})
+    rows(("a", "4", "gone", "4"), ("b", "3", "more", "4")).write.mode("append").parquet(log)
+    run()
+    assert sinks.dimension(spark, out, "dim_a").count() == 3
+    assert sinks.dimension(spark, out, "dim_b").count() == 2

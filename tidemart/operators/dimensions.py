@@ -17,6 +17,13 @@ def source_tables(config: DataFrame) -> list[str]:
     return sorted(row[0] for row in config.select("source_table").distinct().collect())
 
 
+def routing_now(changes: DataFrame) -> DataFrame:
+    """The config that changes add up to: the last per source table, by `batch` and then `version`,
+    unless that takes the table out."""
+    return (latest_per_key(changes, ["source_table"], ["batch", "version"])
+            .filter(~F.col("gone")).drop("gone", "batch", "version"))
+
+
 def route(log: DataFrame, config: DataFrame, tables: Sequence[str] | None = None) -> DataFrame:
     """Tag each row image with its target and keep the configured columns of it; tables without
     a config row are dropped.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -369,13 +370,15 @@ def _run(writer: DataStreamWriter, spark: SparkSession, name: str,
 
 
 def _replayed(rows: DataFrame, name: str, closing: DataFrame | None = None, parts: int = 4,
-              at: str = "ts", late: Column | None = None) -> DataFrame:
+              at: str = "ts", late: Column | None = None,
+              cuts: Sequence[float] | None = None) -> DataFrame:
     """The rows as a stream of several micro-batches in order of time, each one file, and last the
     closing rows, which only move the watermark on. Rows for which `late` holds come one micro-batch
-    after their time."""
+    after their time. Cuts that aren't given are quantiles."""
     path = work_dir(rows.sparkSession, name)
-    cuts = rows.select(F.col(at).cast("double").alias("at")).approxQuantile(
-        "at", [k / parts for k in range(1, parts)], 0.01)
+    if cuts is None:
+        cuts = rows.select(F.col(at).cast("double").alias("at")).approxQuantile(
+            "at", [k / parts for k in range(1, parts)], 0.01)
     part = F.lit(0)
     for cut in cuts:
         part = part + (F.col(at).cast("double") > cut).cast("int")
@@ -549,6 +552,42 @@ def stream_comment_dic(spark: SparkSession, sf: str) -> DataFrame:
     return _taken(found, "comments-named")
 
 
+def _routing_text(spark: SparkSession, path: str) -> DataFrame:
+    """Config changes as JSON text, a file per micro-batch: the products get a column more and the
+    provinces are taken up in the second, the users are taken out in the third."""
+    users, products, provinces = (dict(zip(S.ROUTING.names, row)) for row in standin.ROUTING_ROWS)
+    narrow = products | {"sink_columns": "id,sku_name"}
+    steps = [[{"after": users}, {"after": narrow}],
+             [{"before": narrow, "after": products}, {"after": provinces}],
+             [{"before": users}]]
+    for number, rows in enumerate(steps):
+        text = [(json.dumps(row | {"ts_ms": number}),) for row in rows]
+        spark.createDataFrame(text, "value string").coalesce(1).write.mode("append").parquet(path)
+    return (spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def stream_dim_route(spark: SparkSession, sf: str) -> DataFrame:
+    """Dimensions loaded in three micro-batches while their routing config changes."""
+    feed = standin.as_one_log(standin.table_changes(
+        spark, sf, *(row[0] for row in standin.ROUTING_ROWS)))
+    data = F.col("data")
+    number = F.coalesce(data["last_event"], data["id"]).cast("bigint")
+    log = _replayed(feed.withColumn("seq", number).withColumn("part", number % 3), "routed-feed",
+                    parts=3, at="part", cuts=(0, 1))
+    path = work_dir(spark, "routed")
+    routing = feeds.routing_changes(_routing_text(spark, work_dir(spark, "routing-text")))
+    none = spark.createDataFrame([], S.ROUTING)
+    _run(sinks.to_routed_dimensions(log, routing, path, f"{path}-history", none, ("ts", "seq")),
+         spark, "routed")
+    shown = ("id", "sku_name", "tm_id", "category3_id", "name", "last_event")
+    tables = [sinks.dimension(spark, path, row[1], ("ts", "seq")) for row in standin.ROUTING_ROWS]
+    return reduce(DataFrame.unionByName, [
+        table.select(F.lit(row[1]).alias("sink_table"),
+                     *(F.col(name) if name in table.columns else F.lit(None).cast("string").alias(name)
+                       for name in shown))
+        for row, table in zip(standin.ROUTING_ROWS, tables)])
+
+
 def stream_changelog_retract(spark: SparkSession, sf: str) -> DataFrame:
     """Events per user, errors taking one away, as a changelog; what it adds up to in the end."""
     events = standin.table(spark, sf, "events").select(
@@ -624,4 +663,5 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     stream_bounce_detail, stream_unique_visitor_daily, stream_login_days, stream_page_visitors, stream_keyword_window,
     stream_register_window, stream_traffic_window, stream_cart_delta, stream_refund_detail,
     stream_changelog_count, stream_log_split, stream_change_tables, stream_order_wide,
-    stream_order_window, stream_province_window, stream_comment_dic, stream_changelog_retract)}
+    stream_order_window, stream_province_window, stream_comment_dic, stream_changelog_retract,
+    stream_dim_route)}

@@ -512,6 +512,24 @@ ORACLE.update({f"stream_{name}": ORACLE[name].replace(_LINES, _LINES_TOGETHER).r
 # The same rows, however the feed arrives.
 ORACLE["change_text"] = ORACLE["stream_change_tables"] = ORACLE["coupon_order"]
 
+# Users are routed in the first two of three micro-batches, provinces in the last two, and the
+# products have their full columns in the last two.
+ORACLE["stream_dim_route"] = _with("""
+SELECT 'dim_user_info' AS sink_table, pk AS id, NULL AS sku_name, NULL AS tm_id,
+       NULL AS category3_id, NULL AS name, CAST(last_event AS VARCHAR) AS last_event
+FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY CAST(ts AS BIGINT) DESC,
+                                   last_event DESC) AS version
+      FROM images WHERE sink_table = 'dim_user_info' AND last_event % 3 <> 2)
+WHERE version = 1
+UNION ALL
+SELECT 'dim_sku_info', CAST(p_partkey AS VARCHAR), p_name,
+       CASE WHEN p_partkey % 3 <> 0 THEN p_brand END, CASE WHEN p_partkey % 3 <> 0 THEN p_type END,
+       NULL, NULL
+FROM part WHERE p_partkey % 4 <> 3
+UNION ALL
+SELECT 'dim_base_province', CAST(n_nationkey AS VARCHAR), NULL, NULL, NULL, n_name, NULL
+FROM nation WHERE n_nationkey % 3 <> 0""", _EV, _IMAGES)
+
 ORACLE["stream_log_split"] = _log("""
 SELECT event_id, stream, mid, is_new, 'os' || vc AS os, CAST(event_id % 11 AS VARCHAR) AS refer_id,
        detail

@@ -103,11 +103,27 @@ def routing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).schema(ROUTING).load(path)
 
 
+def routing_changes(raw: DataFrame) -> DataFrame:
+    """Routing config as changes: the config's columns, `gone` for a source table that is not routed
+    any more, `version`. A row image is under `after`; a delete has only `before`, and an update that
+    moves a row to another source table takes the old one away."""
+    schema = T.StructType([T.StructField("before", ROUTING), T.StructField("after", ROUTING),
+                           T.StructField("ts_ms", T.LongType())])
+    before, after = F.col("row.before"), F.col("row.after")
+    left = before["source_table"].isNotNull() & ~before["source_table"].eqNullSafe(
+        after["source_table"])
+    steps = F.array(
+        F.when(left, F.struct(before.alias("config"), F.lit(True).alias("gone"))),
+        F.when(after["source_table"].isNotNull(),
+               F.struct(after.alias("config"), F.lit(False).alias("gone"))))
+    return (raw.select(F.from_json("value", schema).alias("row"))
+            .select(F.explode(F.array_compact(steps)).alias("step"), "row.ts_ms")
+            .select("step.config.*", "step.gone", F.col("ts_ms").alias("version")))
+
+
 def routing_images(raw: DataFrame) -> DataFrame:
     """Routing config out of change rows, whose row image is under `after`; a delete has none."""
-    schema = T.StructType([T.StructField("after", ROUTING)])
-    return (raw.select(F.from_json("value", schema).alias("row")).select("row.after.*")
-            .filter(F.col("source_table").isNotNull()))
+    return routing_changes(raw).filter(~F.col("gone")).select(*ROUTING.names)
 
 
 def dictionary(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -46,6 +46,8 @@ class Mart:
     #: how late versions may come; with it details settle on event time instead of the clock
     settle_delay: str | None = None
     live_dictionary: bool = False
+    #: the routing config changes while the dimension job runs, by the feed `routing`
+    live_routing: bool = False
     order_bounds: facts.Bounds = field(default_factory=facts.Bounds)
     payment_bounds: facts.Bounds = facts.PAYMENT_BOUNDS
 
@@ -142,6 +144,10 @@ def dimensions(mart: Mart) -> DataStreamWriter:
     # which tables are routed is known per micro-batch only, so this job reads them all
     log = feeds.table_rows(mart.spark, f"{mart.root}/fact/changes", S.ENVELOPE, stream=True,
                            files_per_trigger=mart.files_per_trigger)
+    if mart.live_routing:
+        return sinks.to_routed_dimensions(
+            log, feeds.routing_changes(mart.feed("routing")), f"{mart.root}/dim",
+            f"{mart.root}/dim/routing_history", mart.routing())
     return sinks.to_dimensions(log, f"{mart.root}/dim", mart.routing)
 
 

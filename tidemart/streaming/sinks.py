@@ -66,10 +66,11 @@ def to_upserts(rows: DataFrame, path: str, keys: Sequence[str], version: Sequenc
 
 
 def current(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str] = (),
-            gone: str | None = None) -> DataFrame:
+            gone: str | None = None, merge: bool = False) -> DataFrame:
     """Newest row per key of an upsert target; later batches win over earlier ones. A key whose newest
-    row meets `gone` has been retracted and is left out."""
-    rows = spark.read.option("basePath", path).parquet(path)
+    row meets `gone` has been retracted and is left out. `merge` takes the columns of all batches
+    together, where they may differ."""
+    rows = spark.read.option("basePath", path).option("mergeSchema", merge).parquet(path)
     newest = latest_per_key(rows, list(keys), [*version, "batch"]).drop("batch")
     return newest.filter(~F.coalesce(F.expr(gone), F.lit(False))) if gone else newest
 
@@ -131,38 +132,75 @@ def to_dimensions(log: DataFrame, path: str, config: Callable[[], DataFrame],
     newest images of every target. Versions are numbers, though the log has them as text.
     `dimension` reads a target."""
     def write(batch: DataFrame, number: int) -> None:
-        routing = config()
-        routed = dimensions.route(batch, routing, dimensions.source_tables(routing)).withColumns(
-            {name: F.col(name).cast("bigint") for name in version})
-        routed.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            images = dimensions.current_images(routed, tuple(version))
-            for row in routing.collect():
-                kept = images.filter(F.col("sink_table") == row["sink_table"])
-                table = kept.select("pk", *version, *(
-                    F.col("data")[name].alias(f"c_{name}")
-                    for name in row["sink_columns"].split(",")))
-                table.write.mode("overwrite").parquet(f"{path}/{row['sink_table']}/batch={number}")
-        finally:
-            routed.unpersist()
+        _load(batch, config(), path, version, number)
 
     return log.writeStream.outputMode("append").foreachBatch(write)
 
 
+def _load(log: DataFrame, routing: DataFrame, path: str, version: Sequence[str],
+          number: int) -> None:
+    """The newest images of a micro-batch to its own folder of every target."""
+    routed = dimensions.route(log, routing, dimensions.source_tables(routing)).withColumns(
+        {name: F.col(name).cast("bigint") for name in version})
+    routed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        images = dimensions.current_images(routed, tuple(version))
+        for row in routing.collect():
+            kept = images.filter(F.col("sink_table") == row["sink_table"])
+            table = kept.select("pk", *version, *(
+                F.col("data")[name].alias(f"c_{name}")
+                for name in row["sink_columns"].split(",")))
+            table.write.mode("overwrite").parquet(f"{path}/{row['sink_table']}/batch={number}")
+    finally:
+        routed.unpersist()
+
+
+def to_routed_dimensions(log: DataFrame, routing: DataFrame, path: str, history: str,
+                         stored: DataFrame, version: Sequence[str] = ("ts",)) -> DataStreamWriter:
+    """Load dimensions while their routing config is a stream of changes itself
+    (`feeds.routing_changes`).
+
+    A micro-batch first appends its config changes to `history`, then routes its rows by what the
+    changes up to it add up to: a table configured a moment ago gets its target and its rows, one taken
+    out stops, other columns hold from there on. Rows that came before their config are not routed.
+    `stored`, the config as the job first finds it, comes before all changes. A repeated micro-batch
+    writes the same files again and sees no later change."""
+    spark = log.sparkSession
+    stored.select(*ROUTING.names, F.lit(False).alias("gone"), F.lit(None).cast("bigint").alias(
+        "version")).write.mode("ignore").parquet(f"{history}/batch=-1")
+    changes = routing.select(F.struct(*ROUTING.names, "gone", "version").alias("routing"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.filter(F.col("routing").isNotNull()).select("routing.*")
+        fresh.write.mode("overwrite").parquet(f"{history}/batch={number}")
+        known = (spark.read.option("basePath", history).schema(
+                    fresh.schema.add("batch", "long")).parquet(history)
+                 .filter(F.col("batch") <= number))
+        config = dimensions.routing_now(known)
+        create_targets(spark, path, config.join(fresh.select("source_table"), "source_table",
+                                                "left_semi"), version)
+        _load(batch.filter(F.col("routing").isNull()).drop("routing"), config, path, version, number)
+
+    both = log.unionByName(changes, allowMissingColumns=True)
+    return both.writeStream.outputMode("append").foreachBatch(write)
+
+
 def dimension(spark: SparkSession, path: str, sink_table: str,
               version: Sequence[str] = ("ts",)) -> DataFrame:
-    """A loaded dimension: one row per key, configured columns only."""
-    rows = current(spark, f"{path}/{sink_table}", ["pk"], version)
+    """A loaded dimension: one row per key, configured columns only. A column that the config took up
+    later is null in rows loaded before."""
+    rows = current(spark, f"{path}/{sink_table}", ["pk"], version, merge=True)
     return rows.select(*(F.col(name).alias(name[2:]) for name in rows.columns
                          if name.startswith("c_")))
 
 
-def create_targets(spark: SparkSession, path: str, config: DataFrame) -> None:
+def create_targets(spark: SparkSession, path: str, config: DataFrame,
+                   version: Sequence[str] = ("ts",)) -> None:
     """An empty table for every configured target that is not there yet, so that readers find
     its columns before the first row has come."""
     for row in config.select(*ROUTING.names).collect():
         schema = dimensions.target_schema(row)
         empty = spark.createDataFrame([], schema).select(
-            F.lit("").alias("pk"), F.lit(0).cast("bigint").alias("ts"),
+            F.lit("").alias("pk"), *(F.lit(0).cast("bigint").alias(name) for name in version),
             *(F.col(name).alias(f"c_{name}") for name in schema.names))
         empty.write.mode("ignore").parquet(f"{path}/{row['sink_table']}/batch=-1")
