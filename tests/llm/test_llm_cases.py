@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -459,3 +460,61 @@ def test_warc_segments(spark):
 def test_crc_of_ids_is_32_bit():
     assert zlib.crc32(np.asarray([1, 2], "<u4").tobytes()) == zlib.crc32(
         b"\x01\0\0\0\x02\0\0\0")
+
+
+def test_one_source_with_most_rows(spark):
+    """The cut of a source is exact whatever its share, and the mix lies sorted in random order."""
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias(
+            "text"), F.when(F.col("id") % 10 > 0, "a").when(F.col("id") % 20 > 0, "b").alias("source"))
+    found = mixing.mix_sizes(docs).join(docs, "doc_id").groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r.source for r in found} == {"a", "b", None}
+    assert all(r.taken == int(r.target) for r in found)
+    assert mixing.mix_sizes(docs).filter("taken > 2 * size or taken < 0").count() == 0
+    mix = mixing.mix_documents(docs).withColumn("at", F.monotonically_increasing_id()).orderBy(
+        "at").collect()
+    places = [("a", "b", None).index(r.source) for r in mix]
+    assert places == sorted(places)
+    assert sum(len(r.text.split()) for r in mix) == sum(r.taken for r in found)
+    ids = [r.doc_id for r in mix if r.source == "a"]
+    up = sum(a < b for a, b in zip(ids, ids[1:]))
+    assert 0.45 < up / len(ids) < 0.55
+
+
+def test_windows_by_brute_force(spark):
+    """Few words, so shingles are frequent and windows overlap, repeat and share items."""
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice("abc") for _ in range(draw.randint(0, 60))) for _ in range(60)]
+    items = [" ".join(draw.choice("abc") for _ in range(draw.randint(1, 9))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.contamination(docs, benchmark, width=6, shingle=3).collect()
+    assert len(found) == len(texts)
+    for row in found:
+        words, hit, names = texts[row.doc_id].split(), set(), set()
+        for name, item in enumerate(items):
+            own = item.split()
+            n = min(6, len(own))
+            for i in range(len(own) - n + 1):
+                for j in range(len(words) - n + 1):
+                    if words[j:j + n] == own[i:i + n]:
+                        hit |= set(range(j, j + n))
+                        names.add(str(name))
+        assert (row.n_words, row.n_hit, row["items"]) == (len(words), len(hit), sorted(names))
+        assert {k for a, b in row["ranges"] for k in range(a, b)} == hit
+        assert all(a[1] < b[0] for a, b in zip(row["ranges"], row["ranges"][1:]))
+
+
+def test_words_of_a_batch():
+    """Word hashes depend on the word alone: over pieces, long words and texts without a border."""
+    long = "x" * (decontaminate.LONG + 1)
+    texts = [None, "a", "b", "", f"a {long} a", " ".join(["a", "b"] * decontaminate.PIECE), f"{long}-B"]
+    words = decontaminate.Words.of(pa.array(texts)[1:])
+    own = [w for t in texts[1:] for w in t.lower().replace("-", " ").split()]
+    of = {}
+    assert len(own) == len(words.starts)
+    for word, value in zip(own, decontaminate.Hashing()(words).tolist()):
+        assert of.setdefault(word, value) == value
+    assert len(set(of.values())) == 3
+    assert np.diff(words.first).tolist() == [len(t.replace("-", " ").split()) for t in texts[1:]]
