@@ -167,6 +167,26 @@ def test_chat_odd_rows_and_parts(spark):
     found = {r.conv_id: r for r in chat.digests(parts).collect()}
     assert found[1].n_turns == 4 and found[1].loss_chars == 6 + 10
     assert found[None].loss_chars == 0
+    narrow = chat.format_conversations(table, TOKENIZER, chat.DIGESTED)
+    assert set(narrow.columns) == set(chat.DIGESTED)
+    assert {r.conv_id: r for r in chat.digests(narrow).collect()} == found
+    assert chat.format_conversations(table.limit(0), TOKENIZER).count() == 0
+
+
+def test_chat_mask_against_tokens_one_by_one():
+    rng = random.Random(3)
+    for _ in range(300):
+        cuts = sorted(rng.sample(range(1, 60), rng.randint(1, 20)))
+        edges = [0, *cuts, 60]
+        offsets = [pair for pair in zip(edges, edges[1:]) for _ in range(rng.randint(1, 2))]
+        marks = sorted(rng.sample(range(61), 4))
+        spans = [(marks[0], marks[1]), (marks[2], marks[3]), (60, 60)]
+        chosen, under = chat.mask(np.array(offsets, np.int64), spans)
+        assert chosen.tolist() == [any(a < high and b > low for low, high in spans)
+                                   for a, b in offsets]
+        assert under == spans[:2]
+    with pytest.raises(ValueError):
+        chat.mask(np.array([(0, 4), (6, 9)], np.int64), [(1, 8)])
 
 
 def test_patience_alignment():

@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ PART_TURNS = 64
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 FORMATTED = ("conv_id long, part long, n_turns long, formatted string, ids array<int>, "
              "loss_mask array<boolean>, loss_starts array<int>, loss_ends array<int>")
+#: What `digests` reads of it.
+DIGESTED = ("conv_id", "formatted", "loss_starts", "loss_ends", "part")
 
 
 def escape(text: str) -> str:
@@ -96,11 +99,9 @@ def mask(offsets: np.ndarray, spans: list[tuple[int, int]],
         if first < last and low < high:
             chosen[first:last] = True
             at = max(low, int(starts[first]))
-            for a, b in zip(starts[first:last].tolist(), ends[first:last].tolist()):
-                if a > at:
-                    raise ValueError("offsets leave a gap in a learnt text")
-                at = max(at, b)
-            under.append((max(low, int(starts[first])), min(high, at)))
+            if (starts[first + 1:last] > np.maximum(ends[first:last - 1], at)).any():
+                raise ValueError("offsets leave a gap in a learnt text")
+            under.append((at, min(high, max(at, int(ends[last - 1])))))
     return chosen, under
 
 
@@ -115,9 +116,20 @@ def load(path: str):
     return model
 
 
-def format_conversations(conversations: DataFrame, tokenizer: str) -> DataFrame:
+def _lists(values: list[Sequence], kind: pa.DataType) -> pa.ListArray:
+    """One list a row, from arrays that lie end to end."""
+    edges = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    flat = np.concatenate([np.asarray(v) for v in values]) if values else np.array([])
+    return pa.ListArray.from_arrays(edges, pa.array(flat.astype(kind.to_pandas_dtype()), kind))
+
+
+def format_conversations(conversations: DataFrame, tokenizer: str,
+                         columns: Sequence[str] | None = None) -> DataFrame:
     """One row per conversation and part: the formatted text, its ids, the loss mask over ids and
-    the character spans under it."""
+    the character spans under it. With `columns`, only these leave the tasks; every part is encoded
+    and masked in any case."""
+    kept = [field for field in FORMATTED.split(", ")
+            if columns is None or field.split()[0] in columns]
     small_batches(conversations.sparkSession)
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
                     F.coalesce("text", F.lit("")).alias("text"))
@@ -130,28 +142,29 @@ def format_conversations(conversations: DataFrame, tokenizer: str) -> DataFrame:
         model = None
         for batch in batches:
             model = model or load(tokenizer)
-            rows, texts = batch.to_pylist(), []
-            for row in rows:
-                texts.append(render([(t["role"], t["text"]) for t in row["turns"]]))
+            turns = batch.column(2)
+            edges, said = turns.offsets.to_pylist(), turns.values
+            pairs = list(zip(said.field("role").to_pylist(), said.field("text").to_pylist()))
+            texts = [render(pairs[a:b]) for a, b in zip(edges, edges[1:])]
             # added tokens match only where the template wrote them: texts are escaped
             encoded = model.encode_batch([t for t, _ in texts], add_special_tokens=False)
-            out = {name: [] for name in ("ids", "mask", "starts", "ends")}
-            for one, (_, spans) in zip(encoded, texts):
-                chosen, under = mask(np.array(one.offsets, np.int64).reshape(-1, 2), spans)
-                out["ids"].append(one.ids)
-                out["mask"].append(chosen.tolist())
-                out["starts"].append([a for a, _ in under])
-                out["ends"].append([b for _, b in under])
-            yield pa.RecordBatch.from_pydict({
-                "conv_id": batch.column(0), "part": batch.column(1),
-                "n_turns": pa.array([len(r["turns"]) for r in rows], pa.int64()),
-                "formatted": pa.array([t for t, _ in texts], pa.string()),
-                "ids": pa.array(out["ids"], pa.list_(pa.int32())),
-                "loss_mask": pa.array(out["mask"], pa.list_(pa.bool_())),
-                "loss_starts": pa.array(out["starts"], pa.list_(pa.int32())),
-                "loss_ends": pa.array(out["ends"], pa.list_(pa.int32()))})
-
-    return grouped.mapInArrow(encode, FORMATTED)
+            masked = [mask(np.fromiter(chain.from_iterable(one.offsets), np.int64,
+                                       2 * len(one)).reshape(-1, 2), spans)
+                      for one, (_, spans) in zip(encoded, texts)]
+            made = {
+                "conv_id": lambda: batch.column(0), "part": lambda: batch.column(1),
+                "n_turns": lambda: pa.array(np.diff(edges), pa.int64()),
+                "formatted": lambda: pa.array([t for t, _ in texts], pa.string()),
+                "ids": lambda: _lists([one.ids for one in encoded], pa.int32()),
+                "loss_mask": lambda: _lists([chosen for chosen, _ in masked], pa.bool_()),
+                "loss_starts": lambda: _lists([[a for a, _ in under] for _, under in masked],
+                                              pa.int32()),
+                "loss_ends": lambda: _lists([[b for _, b in under] for _, under in masked],
+                                            pa.int32())}
+            yield pa.RecordBatch.from_pydict(
+                {name: made[name]() for name in (field.split()[0] for field in kept)})
+
+    return grouped.mapInArrow(encode, ", ".join(kept))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -194,7 +207,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         for rows in read([c.to_pylist() for c in b.columns] for b in batches):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return (formatted.select("conv_id", "formatted", "loss_starts", "loss_ends", "part")
+    return (formatted.select(*DIGESTED)
             .repartition("conv_id").sortWithinPartitions("conv_id", "part").drop("part")
             .mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
                              "loss_sha256 string, formatted_chars long"))

@@ -28,7 +28,8 @@ def op2_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)],
                                     "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_conversations(rows.unionByName(control), TOKENIZER))
+    return chat.digests(chat.format_conversations(rows.unionByName(control), TOKENIZER,
+                                                  chat.DIGESTED))
 
 
 def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
