@@ -27,6 +27,7 @@ GAP_MS = 6 * 3600 * 1000
 PIECE_MS = 4 * GAP_MS
 RETURN_DAYS = 4
 # the test data holds real duplicates of a detail id, so versions need a total order
+PAYMENT_VERSION = ("ts", "sku_id", "source_id", "sku_num", "split_original_amount")
 DETAIL_VERSION = ("ts", "sku_id", "source_id", "sku_num", "split_original_amount",
                   "split_total_amount", "activity_id", "coupon_id")
 LINE_VERSION = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -250,8 +251,7 @@ def order_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def payment_window(spark: SparkSession, sf: str) -> DataFrame:
-    version = ("ts", "sku_id", "source_id", "sku_num", "split_original_amount")
-    return summaries.payment_window(_payments(spark, sf), DAY, version)
+    return summaries.payment_window(_payments(spark, sf), DAY, PAYMENT_VERSION)
 
 
 def province_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -464,6 +464,14 @@ def _closing(rows: DataFrame, days: int, **changed: str) -> DataFrame:
         **{name: F.lit(value) for name, value in changed.items()}}).select(*rows.columns)
 
 
+def _file_by_file(path: str, parts: list[DataFrame]) -> DataFrame:
+    """A stream that takes the parts in turn, one in a micro-batch."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return (parts[0].sparkSession.readStream.schema(parts[0].schema)
+            .option("maxFilesPerTrigger", 1).parquet(path))
+
+
 def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
     """An inner and two outer stream joins in a row, over four tables in several micro-batches with
     late rows; what finds no partner comes out once the watermark has passed its wait."""
@@ -477,10 +485,8 @@ def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
             closing = closing.withColumn("data", F.col("data").withField("order_id", F.lit("none"))
                                          .withField("source_type", F.lit("2401")))
         # what the second join passes on at the first closing is the third one's at the second
-        for part in [*_parts(rows), *(_closing(closing, days, type="insert") for days in (10, 20))]:
-            part.coalesce(1).write.mode("append").parquet(path)
-        streams[name] = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
-                         .parquet(path))
+        streams[name] = _file_by_file(path, [
+            *_parts(rows), *(_closing(closing, days, type="insert") for days in (10, 20))])
     wide = facts.order_wide(streams, standin.dictionary(spark), facts.Bounds(WAIT, DELAY))
     return _taken(wide.withColumn("old_status", F.col("old")["order_status"])
                   .drop("old", "row_op_ts"), "wide")
@@ -504,13 +510,24 @@ def _in_turn(rows: DataFrame, name: str, settle: Callable[[DataFrame], DataFrame
     return sinks.current(spark, out, keys)
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = work_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _details_together(spark: SparkSession, sf: str) -> DataFrame:
     tables = standin.written_together(standin.table_changes(spark, sf, *standin.ORDERING))
     wide = facts.order_wide(tables, standin.dictionary(spark))
-    details = facts.order_detail(wide).drop("row_op_ts")
-    path = work_dir(spark, "details")
-    details.write.parquet(path)
-    return spark.read.schema(details.schema).parquet(path)
+    return _stored(facts.order_detail(wide).drop("row_op_ts"), "details")
+
+
+def _payments_together(spark: SparkSession, sf: str) -> DataFrame:
+    dic = standin.dictionary(spark)
+    tables = standin.written_together(
+        standin.table_changes(spark, sf, "payment_info", *standin.ORDERING))
+    details = facts.order_detail(facts.order_wide(tables, dic))
+    return _stored(facts.payment_success(tables, details, dic).drop("row_op_ts"), "payments")
 
 
 def _settled_details(rows: DataFrame) -> DataFrame:
@@ -526,6 +543,15 @@ def stream_order_window(spark: SparkSession, sf: str) -> DataFrame:
                     lambda rows: jobs.order_window(rows, DAY), closing, ["stt"])
 
 
+def stream_payment_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions of paid details settled on event time; then paying users per day."""
+    payments = _payments_together(spark, sf)
+    closing = [_closing(payments, days, order_detail_id=f"closing {days}") for days in (10, 20)]
+    return _in_turn(payments, "payment-window", lambda rows: jobs.settled_details(
+        rows, "order_detail_id", PAYMENT_VERSION, HOLD_MS, DELAY),
+        lambda rows: jobs.payment_window(rows, DAY), closing, ["stt"])
+
+
 def stream_province_window(spark: SparkSession, sf: str) -> DataFrame:
     details = _details_together(spark, sf)
     closing = [_closing(details, days, id=f"closing {days}") for days in (10, 20)]
@@ -645,6 +671,17 @@ def stream_refund_detail(spark: SparkSession, sf: str) -> DataFrame:
     return _taken(rows.drop("row_op_ts"), "refunds")
 
 
+def stream_refund_near(spark: SparkSession, sf: str) -> DataFrame:
+    """The same join over requests that follow their order by an hour, both sides in several
+    micro-batches with late rows: two hours of wait and of delay are all that state holds."""
+    tables = standin.written_together(
+        standin.table_changes(spark, sf, "order_refund_info", "order_info"))
+    streams = {name: _file_by_file(work_dir(spark, name), _parts(rows))
+               for name, rows in tables.items()}
+    rows = facts.refund_request(streams, standin.dictionary(spark), facts.Bounds("2 hours", DELAY))
+    return _taken(rows.drop("row_op_ts"), "refunds-near")
+
+
 def stream_changelog_count(spark: SparkSession, sf: str) -> DataFrame:
     rows = windows.live_count(standin.table(spark, sf, "events", stream=True), "user_id")
     return _taken(rows, "counts", ["user_id"])
@@ -664,4 +701,4 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     stream_register_window, stream_traffic_window, stream_cart_delta, stream_refund_detail,
     stream_changelog_count, stream_log_split, stream_change_tables, stream_order_wide,
     stream_order_window, stream_province_window, stream_comment_dic, stream_changelog_retract,
-    stream_dim_route)}
+    stream_dim_route, stream_payment_window, stream_refund_near)}

@@ -506,8 +506,11 @@ _LINES_TOGETHER = _LINES.replace(_SECS.format("l_shipdate", "l_orderkey"),
                                  "1700000000 + l_orderkey * 60 AS secs")
 _ORDERS_TOGETHER = _ORDERS.replace(_SECS.format("o_orderdate", "o_orderkey"),
                                    "1700000000 + o_orderkey * 60 AS secs")
-ORACLE.update({f"stream_{name}": ORACLE[name].replace(_LINES, _LINES_TOGETHER).replace(
-    _ORDERS, _ORDERS_TOGETHER) for name in ("order_wide", "order_window", "province_window")})
+_TOGETHER = {"stream_order_wide": "order_wide", "stream_order_window": "order_window",
+             "stream_province_window": "province_window",
+             "stream_payment_window": "payment_window", "stream_refund_near": "refund_detail"}
+ORACLE.update({stream: ORACLE[name].replace(_LINES, _LINES_TOGETHER).replace(
+    _ORDERS, _ORDERS_TOGETHER) for stream, name in _TOGETHER.items()})
 
 # The same rows, however the feed arrives.
 ORACLE["change_text"] = ORACLE["stream_change_tables"] = ORACLE["coupon_order"]

@@ -367,20 +367,24 @@ ORDERING = ("order_detail", "order_info", "order_detail_activity", "order_detail
 
 
 def written_together(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The ordering tables, and payments, as a shop writes them: an order and all that belongs to it
-    at one moment, a minute after the order before it, its payment a quarter of an hour later."""
+    """The ordering tables, payments and refund requests, as a shop writes them: an order and all that
+    belongs to it at one moment, a minute after the order before it, its payment a quarter of an hour
+    later, refund requests after an hour."""
+    later = {"payment_info": 900, "order_refund_info": 3600}
+
     def key(name: str) -> Column:
         if name in ("order_info", "payment_info"):
             return F.col("data.id").cast("bigint")
-        if name == "order_detail":
+        if name in ("order_detail", "order_refund_info"):
             return F.col("data.order_id").cast("bigint")
         return F.floor(F.col("data.order_detail_id").cast("bigint") / 10)
 
     def moved(name: str, rows: DataFrame) -> DataFrame:
-        at = F.lit(FEED_START) + key(name) * 60 + (900 if name == "payment_info" else 0)
+        at = F.lit(FEED_START) + key(name) * 60 + later.get(name, 0)
         clocks = {"order_info": [("data", "operate_time", 600), ("old", "operate_time", 0)],
                   "order_detail": [("data", "create_time", 0)],
-                  "payment_info": [("data", "callback_time", 0)]}
+                  "payment_info": [("data", "callback_time", 0)],
+                  "order_refund_info": [("data", "create_time", 0)]}
         out = rows.withColumn("_secs", at)
         for image, field, shift in clocks.get(name, []):
             now = F.when(F.col(f"{image}.{field}").isNotNull(), _clock(F.col("_secs") + shift))
