@@ -288,6 +288,23 @@ def test_state_life_by_the_clock(spark):
     assert read() == [("u", 1000), ("u", 2000), ("v", 1000)]
 
 
+def test_refund_join_keeps_hours_not_years(spark, sf):
+    """Late rows find their order, and the state ends at what may still meet something."""
+    tables = standin.written_together(
+        standin.table_changes(spark, sf, "order_refund_info", "order_info"))
+    dic = standin.dictionary(spark)
+    streams = {name: catalog._file_by_file(work_dir(spark, name), catalog._parts(rows))
+               for name, rows in tables.items()}
+    rows = facts.refund_request(streams, dic, facts.Bounds("2 hours", "2 hours")).drop("row_op_ts")
+    out = work_dir(spark, "out")
+    query = sinks.start(sinks.to_files(rows, out), work_dir(spark, "ck"))
+    assert query.awaitTermination(120)
+    batch = facts.refund_request(tables, dic).drop("row_op_ts")
+    assert only_in(spark.read.schema(rows.schema).parquet(out), batch) == (0, 0)
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert states[-1] < max(states) / 2
+
+
 def test_order_wide_on_streams(replay, spark, sf):
     """Inner and two outer stream joins in a row. Sides must meet within the wait, so the expected
     rows are the batch rows whose order came within it; unmatched sides come out late."""
