@@ -372,10 +372,9 @@ def _run(writer: DataStreamWriter, spark: SparkSession, name: str,
 def _replayed(rows: DataFrame, name: str, closing: DataFrame | None = None, parts: int = 4,
               at: str = "ts", late: Column | None = None,
               cuts: Sequence[float] | None = None) -> DataFrame:
-    """The rows as a stream of several micro-batches in order of time, each one file, and last the
+    """The rows as a stream of several micro-batches in order of time, and last the
     closing rows, which only move the watermark on. Rows for which `late` holds come one micro-batch
     after their time. Cuts that aren't given are quantiles."""
-    path = work_dir(rows.sparkSession, name)
     if cuts is None:
         cuts = rows.select(F.col(at).cast("double").alias("at")).approxQuantile(
             "at", [k / parts for k in range(1, parts)], 0.01)
@@ -384,12 +383,10 @@ def _replayed(rows: DataFrame, name: str, closing: DataFrame | None = None, part
         part = part + (F.col(at).cast("double") > cut).cast("int")
     if late is not None:
         part = F.least(part + F.coalesce(late, F.lit(False)).cast("int"), F.lit(parts - 1))
-    for number in range(parts):
-        rows.filter(part == number).coalesce(1).write.mode("append").parquet(path)
+    cut = [rows.filter(part == number) for number in range(parts)]
     if closing is not None:
-        closing.select(*rows.columns).coalesce(1).write.mode("append").parquet(path)
-    return (rows.sparkSession.readStream.schema(rows.schema)
-            .option("maxFilesPerTrigger", 1).parquet(path))
+        cut.append(closing.select(*rows.columns))
+    return _file_by_file(work_dir(rows.sparkSession, name), cut)
 
 
 def stream_bounce_detail(spark: SparkSession, sf: str) -> DataFrame:
@@ -465,11 +462,21 @@ def _closing(rows: DataFrame, days: int, **changed: str) -> DataFrame:
 
 
 def _file_by_file(path: str, parts: list[DataFrame]) -> DataFrame:
-    """A stream that takes the parts in turn, one in a micro-batch."""
+    """A stream that takes the parts in turn, one in a micro-batch. Every part is the same number of
+    files, one a core at least and more as the input is split in more, so no task writes or reads a
+    whole part. A file starts with a row that only keeps it from being left out as empty."""
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    files = max(spark.sparkContext.defaultParallelism, *(part.rdd.getNumPartitions() for part in parts))
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return (parts[0].sparkSession.readStream.schema(parts[0].schema)
-            .option("maxFilesPerTrigger", 1).parquet(path))
+        marks = spark.range(files).select(
+            *(F.lit(None).cast(field.dataType).alias(field.name) for field in schema.fields),
+            F.lit(True).alias("_mark"), F.col("id").cast("int").alias("_file"))
+        dealt = part.select(*schema.names, F.lit(False).alias("_mark"), F.pmod(
+            F.monotonically_increasing_id(), F.lit(files)).cast("int").alias("_file"))
+        (marks.union(dealt).repartitionById(files, "_file").drop("_file")
+         .write.mode("append").parquet(path))
+    return (spark.readStream.schema(T.StructType([*schema.fields, T.StructField("_mark", T.BooleanType())]))
+            .option("maxFilesPerTrigger", files).parquet(path).filter("NOT _mark").drop("_mark"))
 
 
 def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
@@ -500,7 +507,7 @@ def _in_turn(rows: DataFrame, name: str, settle: Callable[[DataFrame], DataFrame
     spark = rows.sparkSession
     source, held, out = (work_dir(spark, f"{name}-{part}") for part in ("in", "settled", "out"))
     for part in [*_parts(rows), *closing]:
-        part.select(*rows.columns).coalesce(1).write.mode("append").parquet(source)
+        part.select(*rows.columns).write.mode("append").parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
         settled = settle(stream)
         _run(sinks.to_files(settled, held), spark, f"{name}-settled", f"{held}-checkpoint")

@@ -27,6 +27,7 @@ from tidemart.functions.clock import day_of_ms, from_ms
 from tidemart.operators.logs import first_day_of, repaired
 from tidemart.operators.visits import (BOUNCE_GAP_MS, RETURN_DAYS, inner_pages, login_pages,
                                        with_overlap)
+from tidemart.streaming import buckets
 
 # The rules travel to the workers by value, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -358,6 +359,14 @@ def settled(details: DataFrame, key: str = "id", version: Sequence[str] = ("row_
         details = details.withColumn(LIFE, F.unix_millis(F.col(event_time))).filter(
             F.col(LIFE).isNotNull())
     cut = first_of_batch(details, [key], version, descending=True)
+    if event_time and buckets.sortable(cut.schema, version):
+        fields = [name for name in details.columns if name != LIFE]
+        rows = buckets.packed(
+            cut, [key], fields, **{event_time: F.col(event_time), buckets.MS: F.col(LIFE),
+                                   buckets.ORDER: buckets.order_text(cut.schema, version),
+                                   "arrival": F.col("_arrival")})
+        held = buckets.applied(rows, buckets.HoldLatest(hold_ms), f"{buckets.ROW} string", "EventTime")
+        return buckets.unpacked(held, details.select(*fields).schema)
     held = HoldLatest(version, cut.schema, hold_ms, event_time is not None)
     return _apply(cut, [key], held, cut.schema, time_mode=(
         "EventTime" if event_time else "ProcessingTime")).drop("_arrival", LIFE)
