@@ -147,22 +147,6 @@ class _Rule(StatefulProcessor):
         pass
 
 
-class FirstDay(_Rule):
-    """Adds the first known day of the key. The state is set by the key's first row that has a
-    time; later rows pass through one by one."""
-
-    def handleInputRows(self, key, rows, timerValues):
-        known = self.state.get()
-        if known is None:
-            rows = self.sorted(rows)
-            known = next(((row["_own_first"],) for row in rows if row["_own_first"] is not None),
-                         None)
-            if known is not None:
-                self.state.update(known)
-        for row in rows:
-            yield self.make(*row, known[0] if known else None)
-
-
 class NewDay(_Rule):
     """Passes a row when its day differs from the day of the last row passed."""
 
@@ -286,14 +270,13 @@ def _plus(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
 
 
 def repair_new_visitors(log: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
-    keyed = log.withColumns({
-        "_mid": F.col("common.mid"),
-        "_own_first": first_day_of(F.col("common.is_new"), F.col("ts"))})
-    schema = _plus(keyed.schema, "_first", T.DateType())
-    known = _apply(keyed, ["_mid"], FirstDay(order, schema), schema)
-    fixed = repaired(F.col("common.is_new"), F.col("ts"), F.col("_first"))
-    return (known.withColumn("common", F.col("common").withField("is_new", fixed))
-            .drop("_mid", "_own_first", "_first"))
+    rows = buckets.packed(log, ["common.mid"], log.columns, **{
+        buckets.ORDER: buckets.order_text(log.schema, order),
+        "own_first": F.unix_date(first_day_of(F.col("common.is_new"), F.col("ts")))})
+    known = buckets.applied(rows, buckets.FirstDay(), f"{buckets.ROW} string, first_day int")
+    fixed = repaired(F.col("common.is_new"), F.col("ts"), F.date_from_unix_date("first_day"))
+    return (buckets.unpacked(known, log.schema, "first_day")
+            .withColumn("common", F.col("common").withField("is_new", fixed)).drop("first_day"))
 
 
 def new_days(rows: DataFrame, keys: dict[str, Column], ms: Column, order: Sequence[str] = ("ts",),
