@@ -1,4 +1,5 @@
-"""Visitor and user rules on streams: small per-key state, one processor per rule.
+"""Visitor and user rules on streams: small state per key or, where every row passes a rule, per
+bucket of keys (`buckets`); one processor per rule.
 
 What a rule keeps is one day, one row or one flag per key. Where only the first or last row of a
 key can matter, `first_of_batch` cuts every Arrow batch down before the shuffle, so that a key
@@ -72,13 +73,6 @@ def first_of_batch(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     return rows.mapInArrow(cut, schema)
 
 
-def _plain(value):
-    """A value as the state store takes it: nested rows as dictionaries."""
-    if isinstance(value, Row):
-        return value.asDict(recursive=True)
-    return [_plain(one) for one in value] if isinstance(value, list) else value
-
-
 @dataclass(frozen=True)
 class Life:
     """How long a key's state is kept: for ever, or so many milliseconds."""
@@ -213,51 +207,6 @@ class HoldLatest(_Rule):
         return tuple((row[name] is not None, row[name]) for name in self.order)
 
 
-class EntryAlone(_Rule):
-    """Passes an entry page when the visitor's next page is another entry page or comes only after
-    the gap. Rows wait until the watermark has passed them and are then judged in order of time, so
-    rows that come out of order within the delay change nothing; an entry page passes once nothing
-    can come any more within its gap."""
-
-    def __init__(self, order: Sequence[str], schema: T.StructType, gap_ms: int):
-        super().__init__(order, schema)
-        self.state_schema, self.gap_ms = schema, gap_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.state_schema)
-
-    def handleInputRows(self, key, rows, timerValues):
-        rows = list(rows)
-        self.waiting.appendList([tuple(map(_plain, row)) for row in rows])
-        self.handle.registerTimer(min(row["ts"] for row in rows) + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = self.sorted(self.make(*row) for row in self.waiting.get())
-        kept = [row for row in rows if row["ts"] >= passed]
-        held = None
-        for row in rows:
-            if row["ts"] >= passed:
-                continue
-            if held is not None and (row["_entry"] or row["ts"] - held["ts"] >= self.gap_ms):
-                yield held
-            held = row if row["_entry"] and not row["_copied"] else None
-        timers = [min(row["ts"] for row in kept) + 1] if kept else []
-        if held is not None and held["ts"] + self.gap_ms <= passed:
-            yield held
-        elif held is not None:
-            kept.append(held)
-            timers.append(held["ts"] + self.gap_ms)
-        if kept:
-            self.waiting.put([tuple(map(_plain, row)) for row in kept])
-        else:
-            self.waiting.clear()
-        for at in timers:
-            self.handle.registerTimer(at)
-
-
 def _apply(rows: DataFrame, keys: Sequence[str], rule: _Rule, schema: T.StructType, *,
            time_mode: str = "None", event_time: str = "") -> DataFrame:
     return rows.groupBy(*keys).transformWithState(
@@ -358,13 +307,14 @@ def settled(details: DataFrame, key: str = "id", version: Sequence[str] = ("row_
 def bounces(pages: DataFrame, gap_ms: int = BOUNCE_GAP_MS, piece_ms: int | None = None,
             order: Sequence[str] = ("ts",), delay: str = "2 seconds") -> DataFrame:
     """Entry pages nothing followed, per visitor and piece of time as in the batch form."""
-    rows = with_overlap(pages, gap_ms, piece_ms or 60 * gap_ms).withColumns({
-        "_mid": F.col("common.mid"), "_entry": F.col("page.last_page_id").isNull(),
-        "_at": from_ms(F.col("ts"))}).withWatermark("_at", delay)
-    schema = T.StructType(rows.schema.fields)
-    alone = _apply(rows, ["_mid", "_piece"], EntryAlone(order, schema, gap_ms), schema,
-                   time_mode="EventTime")
-    return alone.drop("_mid", "_piece", "_entry", "_copied", "_at")
+    rows = with_overlap(pages, gap_ms, piece_ms or 60 * gap_ms).withColumn(
+        "_at", from_ms(F.col("ts"))).withWatermark("_at", delay)
+    waiting = buckets.packed(rows, ["common.mid", "_piece"], pages.columns, **{
+        "_at": F.col("_at"), buckets.MS: F.col("ts"),
+        buckets.ORDER: buckets.order_text(rows.schema, order),
+        "entry": F.col("page.last_page_id").isNull(), "copied": F.col("_copied")})
+    alone = buckets.applied(waiting, buckets.EntryAlone(gap_ms), f"{buckets.ROW} string", "EventTime")
+    return buckets.unpacked(alone, pages.schema)
 
 
 __all__ = ["bounces", "daily_logins", "daily_page_visitors", "daily_visitors", "day_marks",
