@@ -1,7 +1,7 @@
 """Rules whose other side changes while they run: a dictionary joined as it is now, and counts as a
 changelog with retractions.
 
-Both keep little state, per code and share or per key, and take a key's rows as frames.
+Both keep little state, per code and share or per bucket of keys, and take a key's rows as frames.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemart.streaming import buckets
+
 # The rules travel to the workers by value, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -102,41 +104,16 @@ def named_live(facts: DataFrame, changes: DataFrame, stored: DataFrame, code: st
 
 # --- counts as a changelog ---------------------------------------------------------------------
 
-_COUNT = T.StructType([T.StructField("n", T.LongType())])
 #: Kinds of changelog rows: a new group, the row before and after a change, a group that is gone.
 NEW, BEFORE, AFTER, GONE = "+I", "-U", "+U", "-D"
 
 
-class Changes(StatefulProcessor):
-    """Keeps a count per group and passes what a change replaces and what it leaves."""
-
-    def __init__(self, key: str):
-        self.key = key
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", _COUNT)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        held = self.count.get()
-        before = held[0] if held else 0
-        after = before + int(sum(frame["amount"].sum() for frame in rows))
-        self.count.update((after,))
-        shown = [(kind, n) for kind, n, there in (
-            (BEFORE, before, before > 0 and after > 0), (AFTER, after, before > 0 and after > 0),
-            (NEW, after, before <= 0 < after), (GONE, before, before > 0 >= after)) if there]
-        if before != after and shown:
-            yield pd.DataFrame({self.key: [key[0]] * len(shown), "row_count": [n for _, n in shown],
-                                "kind": [kind for kind, _ in shown]})
-
-    def close(self) -> None:
-        pass
-
-
 def changelog(rows: DataFrame, key: str, sign: str) -> DataFrame:
     """Live counts per key as a changelog: `kind`, key and `row_count`. `sign` is 1 for a row that
     comes and -1 for one that goes. A change of a group gives the row it replaces and the row it
     leaves; a group whose count falls to zero is gone. Rows of a null key are a group too. Every Arrow
-    batch is summed per key ahead of the shuffle, so a hot key costs a row a batch."""
+    batch is summed per key ahead of the shuffle, so a hot key costs a row a batch; counts are kept per
+    bucket of keys."""
     kind = rows.schema[key].dataType
     summed = T.StructType([T.StructField(key, kind), T.StructField("amount", T.LongType())])
 
@@ -148,9 +125,12 @@ def changelog(rows: DataFrame, key: str, sign: str) -> DataFrame:
                     [key, "amount"]).combine_chunks().to_batches()
 
     parts = rows.select(key, F.col(sign).cast("bigint").alias("amount")).mapInArrow(combine, summed)
-    out = T.StructType([T.StructField(key, kind), T.StructField("row_count", T.LongType()),
-                        T.StructField("kind", T.StringType())])
-    return parts.groupBy(key).transformWithStateInPandas(Changes(key), out, "Append", "None")
+    counted = buckets.applied(
+        buckets.packed(parts, [key], [], amount=F.col("amount")).drop(buckets.ROW),
+        buckets.Count((NEW, BEFORE, AFTER, GONE)),
+        f"{buckets.KEY} string, row_count long, kind string")
+    return buckets.unpacked(counted, T.StructType([T.StructField(key, kind)]), "row_count", "kind",
+                            text=buckets.KEY)
 
 
 def net(changes: DataFrame, key: str) -> DataFrame:
