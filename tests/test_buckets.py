@@ -55,6 +55,32 @@ def test_settled_versions_of_many_keys(spark):
     assert most_state(progress) <= 3 * buckets.BUCKETS
 
 
+def test_an_older_version_that_comes_later_is_not_the_newest(spark):
+    """Versions that differ only in their second column, in two micro-batches and in one."""
+    rows = spark.createDataFrame([("a", "100", "637"), ("b", "100", "431"), ("c", "100", "9")],
+                                 "id string, ts string, sku_id string")
+    later = spark.createDataFrame([("a", "100", "431"), ("b", "100", "637"), ("c", "100", "8"),
+                                   ("c", "100", None)], rows.schema)
+    closing = spark.createDataFrame([("closing", "9000", "1")], rows.schema)
+    stream = catalog._file_by_file(work_dir(spark, "versions"), [rows, later, closing])
+    found, _ = run(spark, jobs.settled_details(stream, "id", ("ts", "sku_id"), 5_000, "10 seconds"))
+    assert sorted((r.id, r.sku_id) for r in found.collect()) == [("a", "637"), ("b", "637"), ("c", "9")]
+
+
+def test_turns_take_each_row_once_and_the_parts_as_written(spark):
+    """Rows go to their part where they are made; a turn reads what the turns before it left out."""
+    rows = spark.range(6000).select(F.col("id").cast("string").alias("id"),
+                                    (F.col("id") * 60).cast("string").alias("ts"))
+    taken = []
+    catalog._in_turn(rows, "turns", rows, {"id": "closing"}, lambda part: taken.append(part) or part,
+                     lambda held: held.select("id", "ts"), ["id"])
+    source, = {file.rsplit("/", 2)[0] for file in spark.read.parquet(
+        *(f"{spark.conf.get('spark.checkpoint.dir')}/turns-in-*",)).inputFiles()}
+    sizes = {r._part: r["count"] for r in spark.read.parquet(source).groupBy("_part").count().collect()}
+    assert len(taken) == 5 and sizes.keys() == {0, 1, 2, 3, 4} and sum(sizes.values()) == 6002
+    assert sizes[3] == sizes[4] == 1 and all(1500 < sizes[k] < 2500 for k in range(3))
+
+
 def test_order_text_sorts_as_its_columns(spark):
     schema = "a long, b string, c timestamp"
     texts = [None, "", "a", "a\x00", "a\x00b", "a\x01", "a\x02", "ab", "é", "\U0001f600", "￮"]

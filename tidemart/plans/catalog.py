@@ -442,14 +442,21 @@ def stream_change_tables(spark: SparkSession, sf: str) -> DataFrame:
 LATE_SECONDS, DELAY, WAIT, HOLD_MS = 3600, "2 hours", "1 hour", 3600 * 1000
 
 
-def _parts(rows: DataFrame, parts: int = 3) -> list[DataFrame]:
-    """Change or fact rows cut by time; a third of those in the last hour before a cut come after it."""
+def _part(rows: DataFrame, of: DataFrame | None = None, parts: int = 3) -> Column:
+    """The number of the part that a change or fact row falls in, cut by time; a third of those in the
+    last hour before a cut come after it. The cuts are quantiles of the rows, or of `of` where the rows
+    are dear to make."""
     at, late = F.col("ts").cast("bigint"), F.xxhash64(*rows.columns) % 3 == 0
-    ends = rows.select(at.cast("double").alias("at")).approxQuantile(
+    ends = (rows if of is None else of).select(at.cast("double").alias("at")).approxQuantile(
         "at", [k / parts for k in range(1, parts)], 0.01)
     number = F.lit(0)
     for end in ends:
         number = number + (at > F.when(late, end - LATE_SECONDS).otherwise(end)).cast("int")
+    return number
+
+
+def _parts(rows: DataFrame, parts: int = 3) -> list[DataFrame]:
+    number = _part(rows, parts=parts)
     return [rows.filter(number == k) for k in range(parts)]
 
 
@@ -500,20 +507,29 @@ def stream_order_wide(spark: SparkSession, sf: str) -> DataFrame:
                   .drop("old", "row_op_ts"), "wide")
 
 
-def _in_turn(rows: DataFrame, name: str, settle: Callable[[DataFrame], DataFrame],
-             window: Callable[[DataFrame], DataFrame], closing: list[DataFrame],
+def _in_turn(rows: DataFrame, name: str, of: DataFrame, closing: dict[str, str],
+             settle: Callable[[DataFrame], DataFrame], window: Callable[[DataFrame], DataFrame],
              keys: Sequence[str]) -> DataFrame:
     """Two jobs started in turn as their input grows: settled versions, then windows over them.
-    Each goes on from its checkpoint."""
+    Each goes on from its checkpoint. The rows are made once and leave their tasks as files of the
+    part they fall in; a turn's input is the parts up to its own. `of` has the times the cuts go by,
+    `closing` a column and the start of its value in the two closing rows."""
     spark = rows.sparkSession
     source, held, out = (work_dir(spark, f"{name}-{part}") for part in ("in", "settled", "out"))
-    for part in [*_parts(rows), *closing]:
-        part.select(*rows.columns).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(rows.schema).parquet(source)
+    parts = 3
+    rows.withColumn("_part", _part(rows, of, parts)).write.partitionBy("_part").parquet(source)
+    stored = spark.read.schema(T.StructType([
+        *rows.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(source).drop("_part")
+    (column, start), = closing.items()
+    last = [_closing(stored, days, **{column: f"{start} {days}"}) for days in (10, 20)]
+    for number in range(parts + len(last)):
+        if number >= parts:
+            last[number - parts].write.parquet(f"{source}/_part={number}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{source}/_part=[0-{number}]")
         settled = settle(stream)
         _run(sinks.to_files(settled, held), spark, f"{name}-settled", f"{held}-checkpoint")
-        stored = feeds.table_rows(spark, held, settled.schema, stream=True)
-        _run(sinks.to_upserts(window(stored), out, keys, mode="append"), spark, name,
+        stored_versions = feeds.table_rows(spark, held, settled.schema, stream=True)
+        _run(sinks.to_upserts(window(stored_versions), out, keys, mode="append"), spark, name,
              f"{out}-checkpoint")
     return sinks.current(spark, out, keys)
 
@@ -524,47 +540,44 @@ def _stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _details_together(spark: SparkSession, sf: str) -> DataFrame:
-    tables = standin.written_together(standin.table_changes(spark, sf, *standin.ORDERING))
-    wide = facts.order_wide(tables, standin.dictionary(spark))
-    return _stored(facts.order_detail(wide).drop("row_op_ts"), "details")
-
-
-def _payments_together(spark: SparkSession, sf: str) -> DataFrame:
+def _together(spark: SparkSession, sf: str, *more: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Changes as a shop writes them, the dictionary, and new details out of them."""
+    tables = standin.written_together(standin.table_changes(spark, sf, *more, *standin.ORDERING))
     dic = standin.dictionary(spark)
-    tables = standin.written_together(
-        standin.table_changes(spark, sf, "payment_info", *standin.ORDERING))
-    details = facts.order_detail(facts.order_wide(tables, dic))
-    return _stored(facts.payment_success(tables, details, dic).drop("row_op_ts"), "payments")
+    return tables, dic, facts.order_detail(facts.order_wide(tables, dic))
 
 
-def _settled_details(rows: DataFrame) -> DataFrame:
-    return jobs.settled_details(rows, "id", DETAIL_VERSION, HOLD_MS, DELAY)
+def _settled_windows(spark: SparkSession, sf: str, name: str, uses: Sequence[str],
+                     window: Callable[[DataFrame], DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Versions of details, settled, then the window. Spark prunes no columns ahead of a stateful rule,
+    so `uses` names those of the window; key and version stay beside them."""
+    tables, _, details = _together(spark, sf)
+    rows = details.select(*dict.fromkeys(["id", *DETAIL_VERSION, *uses]))
+    return _in_turn(rows, name, tables["order_detail"], {"id": "closing"}, lambda part: jobs.settled_details(
+        part, "id", DETAIL_VERSION, HOLD_MS, DELAY), window, keys)
 
 
 def stream_order_window(spark: SparkSession, sf: str) -> DataFrame:
     """Versions of details, some late and out of order, settled on event time; then users and
     amounts per day."""
-    details = _details_together(spark, sf)
-    closing = [_closing(details, days, id=f"closing {days}") for days in (10, 20)]
-    return _in_turn(details, "order-window", _settled_details,
-                    lambda rows: jobs.order_window(rows, DAY), closing, ["stt"])
+    uses = ["user_id", "source_type_name", "date_id", *summaries.ORDER_AMOUNTS.values()]
+    return _settled_windows(spark, sf, "order-window", uses,
+                            lambda rows: jobs.order_window(rows, DAY), ["stt"])
 
 
 def stream_payment_window(spark: SparkSession, sf: str) -> DataFrame:
     """Versions of paid details settled on event time; then paying users per day."""
-    payments = _payments_together(spark, sf)
-    closing = [_closing(payments, days, order_detail_id=f"closing {days}") for days in (10, 20)]
-    return _in_turn(payments, "payment-window", lambda rows: jobs.settled_details(
-        rows, "order_detail_id", PAYMENT_VERSION, HOLD_MS, DELAY),
-        lambda rows: jobs.payment_window(rows, DAY), closing, ["stt"])
+    tables, dic, details = _together(spark, sf, "payment_info")
+    payments = facts.payment_success(tables, details, dic).drop("row_op_ts")
+    return _in_turn(payments, "payment-window", tables["payment_info"], {"order_detail_id": "closing"},
+                    lambda rows: jobs.settled_details(rows, "order_detail_id", PAYMENT_VERSION, HOLD_MS, DELAY),
+                    lambda rows: jobs.payment_window(rows, DAY), ["stt"])
 
 
 def stream_province_window(spark: SparkSession, sf: str) -> DataFrame:
-    details = _details_together(spark, sf)
-    closing = [_closing(details, days, id=f"closing {days}") for days in (10, 20)]
-    counts = _in_turn(details, "province-window", _settled_details,
-                      lambda rows: jobs.province_counts(rows, DAY), closing, ["stt", "province_id"])
+    uses = ["user_id", "source_type_name", "province_id", "order_id", "split_total_amount"]
+    counts = _settled_windows(spark, sf, "province-window", uses,
+                              lambda rows: jobs.province_counts(rows, DAY), ["stt", "province_id"])
     return summaries.province_names(counts, standin.provinces(spark, sf))
 
 

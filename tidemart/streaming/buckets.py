@@ -55,15 +55,17 @@ def sortable(schema: T.StructType, names: Sequence[str]) -> bool:
 
 
 def order_text(schema: T.StructType, names: Sequence[str]) -> Column:
-    """The columns as one text that sorts as they do, nulls first."""
+    """The columns as one text that sorts as they do, nulls first. It holds no NUL: frames compare texts
+    only up to the first one."""
     if not sortable(schema, names):
         raise TypeError(f"whole numbers, text, times and flags give an order, not all of {list(names)}")
 
     def part(name: str) -> Column:
         value, kind = F.col(name), schema[name].dataType
         if isinstance(kind, T.StringType):
-            text = F.replace(F.replace(value, F.lit("\x01"), F.lit("\x01\x02")),
-                             F.lit("\x00"), F.lit("\x01\x01"))
+            text = value
+            for plain, escaped in (("\x02", "\x02\x03"), ("\x01", "\x02\x02"), ("\x00", "\x02\x01")):
+                text = F.replace(text, F.lit(plain), F.lit(escaped))
         else:
             number = (F.unix_micros(value) if isinstance(kind, T.TimestampType) else
                       F.unix_date(value) if isinstance(kind, T.DateType) else value.cast("bigint"))
@@ -71,7 +73,7 @@ def order_text(schema: T.StructType, names: Sequence[str]) -> Column:
                           .cast("string"), 20, "0")
         return F.when(value.isNull(), "0").otherwise(F.concat(F.lit("1"), text))
 
-    return F.concat_ws("\x00", *map(part, names))
+    return F.concat_ws("\x01", *map(part, names))
 
 
 # --- rules -------------------------------------------------------------------------------------
