@@ -127,6 +127,24 @@ def test_bounces_of_many_visitors(spark):
     assert most_state(progress) <= 4 * buckets.BUCKETS
 
 
+def test_days_of_many_users(spark):
+    """Days in one micro-batch and over two, a user and days that are null; state does not count by users."""
+    day = 86_400
+    rows = spark.range(3000).select(F.when(F.col("id") != 7, F.col("id")).alias("user_id"), F.explode(
+        F.array(*(F.lit(n) for n in (0, 5, 40, 50, 90)))).alias("hours")).select(
+        "user_id", F.timestamp_seconds(day * 10 + F.col("hours") * 3600 + F.lit(0.25)).alias("_at"), "hours")
+    source = rows.withColumn("_of", F.when(F.col("hours") != 50, F.to_date("_at")))
+    stream = catalog._file_by_file(work_dir(spark, "days"), [
+        source.filter("hours < 20"), source.filter("hours >= 20")]).withWatermark("_at", "0 seconds")
+    marks = rules.day_marks(stream, "user_id", F.col("_of"), ("_at",), event_time="_at")
+    found, progress = run(spark, marks.select("user_id", "_at", "hours", F.date_diff("_last", F.lit(
+        "1970-01-01")).alias("last")))
+    want = rows.filter("hours <> 5").withColumn("last", F.when(F.col("hours") == 40, 10).when(
+        F.col("hours") == 50, 11)).select(found.columns)
+    assert only_in(found, want) == (0, 0)
+    assert most_state(progress) <= buckets.BUCKETS
+
+
 def test_changelog_of_many_keys(spark):
     rows = spark.range(5000).select((F.col("id") % 2500).alias("user"), F.lit(1).alias("sign"))
     stream = catalog._file_by_file(work_dir(spark, "signed"), [rows.filter("id < 2500"),

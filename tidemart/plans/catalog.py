@@ -568,7 +568,7 @@ def stream_order_window(spark: SparkSession, sf: str) -> DataFrame:
 def stream_payment_window(spark: SparkSession, sf: str) -> DataFrame:
     """Versions of paid details settled on event time; then paying users per day."""
     tables, dic, details = _together(spark, sf, "payment_info")
-    payments = facts.payment_success(tables, details, dic).drop("row_op_ts")
+    payments = facts.payment_success(tables, details, dic).select("order_detail_id", *PAYMENT_VERSION, "user_id")
     return _in_turn(payments, "payment-window", tables["payment_info"], {"order_detail_id": "closing"},
                     lambda rows: jobs.settled_details(rows, "order_detail_id", PAYMENT_VERSION, HOLD_MS, DELAY),
                     lambda rows: jobs.payment_window(rows, DAY), ["stt"])

@@ -23,8 +23,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 256
 # plain names: those with an underscore in front do not reach a stateful processor
-BUCKET, KEY, ORDER, ROW, MS = "bucket", "key_text", "order_text", "row_text", "ms"
+BUCKET, KEY, ORDER, ROW, MS, MICROS = "bucket", "key_text", "order_text", "row_text", "ms", "micros"
 JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+# a day before all others
+NO_DAY = -2 ** 40
 _CHUNK = T.StructType([T.StructField("chunk", T.BinaryType())])
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -225,6 +227,24 @@ class FirstDay(_Known):
         yield pd.DataFrame({ROW: rows[ROW], "first_day": rows[KEY].map(known).astype("Int64")})
 
 
+class DayMarks(_Known):
+    """Passes rows of a new day with the day of the key's row before them, NO_DAY for the very first. A
+    row without a day is one of NO_DAY."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.known()
+        rows = _joined(rows).sort_values([KEY, MICROS], kind="stable", ignore_index=True, na_position="first")
+        start = ~rows[KEY].duplicated()
+        last = rows["day"].shift(1, fill_value=NO_DAY)
+        last[start] = rows.loc[start, KEY].map(known).fillna(NO_DAY).astype("int64")
+        ends = rows[~rows[KEY].duplicated(keep="last")].set_index(KEY)["day"]
+        self.update(pd.concat([known[~known.index.isin(ends.index)], ends]))
+        new = rows["day"] != last
+        if new.any():
+            yield pd.DataFrame({ROW: rows.loc[new, ROW], "last_day": last[new],
+                                "at": pd.to_datetime(rows.loc[new, MICROS], unit="us", utc=True)})
+
+
 class Count(_Known):
     """Keeps a count per key and passes what a change replaces and what it leaves, by the kinds of a
     new group, the row before and after a change, and a group that is gone."""
@@ -249,5 +269,7 @@ class Count(_Known):
             yield out
 
 
-def applied(rows: DataFrame, rule: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
-    return rows.groupBy(BUCKET).transformWithStateInPandas(rule, schema, "Append", time_mode)
+def applied(rows: DataFrame, rule: StatefulProcessor, schema: str, time_mode: str = "None",
+            event_time: str = "") -> DataFrame:
+    return rows.groupBy(BUCKET).transformWithStateInPandas(rule, schema, "Append", time_mode,
+                                                           eventTimeColumnName=event_time)

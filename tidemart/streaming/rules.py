@@ -263,6 +263,17 @@ def day_marks(rows: DataFrame, user: str, day: Column, order: Sequence[str] = ("
     at = F.unix_millis(F.col(event_time)) if event_time else F.lit(None).cast("bigint")
     keyed = rows.withColumns({"_user": F.col(user), "_day": day, LIFE: at})
     keyed = first_of_batch(keyed, ["_user", "_day"], order)
+    if event_time and life_ms is None and list(order) == [event_time]:
+        fields = [name for name in keyed.columns if name not in (LIFE, event_time)]
+        packed = buckets.packed(keyed, ["_user"], fields, **{
+            event_time: F.col(event_time), buckets.MICROS: F.unix_micros(event_time),
+            "day": F.coalesce(F.unix_date("_day").cast("bigint"), F.lit(buckets.NO_DAY))})
+        marked = buckets.applied(packed, buckets.DayMarks(), f"{buckets.ROW} string, last_day bigint, at timestamp",
+                                 "EventTime", "at")
+        last = F.when(F.col("last_day") != buckets.NO_DAY, F.date_from_unix_date(F.col("last_day").cast("int")))
+        return buckets.unpacked(marked.withColumnRenamed("at", event_time), keyed.select(*fields).schema,
+                                event_time, "last_day").withColumn("_last", last).select(
+            *(name for name in keyed.columns if name != LIFE), "_last")
     schema = _plus(keyed.schema, "_last", T.DateType())
     return _apply(keyed, ["_user"], DayMarks(order, schema, life), schema,
                   **life.modes(event_time)).drop(LIFE)
