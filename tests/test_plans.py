@@ -45,6 +45,17 @@ def test_scan_reads_only_the_columns_used(spark, sf):
     assert "l_shipdate" in plan and "l_returnflag" not in plan
 
 
+def test_wide_rows_are_not_shuffled_again_for_activity_and_coupon(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan_of(catalog.order_wide(spark, sf)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    outer = [n for n, line in enumerate(lines) if "SortMergeJoin" in line and "LeftOuter" in line]
+    inner = next(n for n, line in enumerate(lines) if n > outer[-1] and "SortMergeJoin" in line)
+    assert len(outer) == 2 and "Exchange" not in "".join(lines[outer[0]:inner])
+
+
 def hot(spark, rows=30_000):
     """A third of all rows belong to one visitor."""
     return spark.range(rows).select(

@@ -81,10 +81,13 @@ def order_wide(log: Log, dic: Dictionary, bounds: Bounds | None = None) -> DataF
 
     rows = detail.join(order, [detail["order_id"] == order["oi_id"],
                                *_near(detail, order, "_od_at", "_oi_at", bounds)], "inner")
-    rows = rows.join(activity, [rows["id"] == activity["act_id"],
-                                *_near(rows, activity, "_od_at", "_act_at", bounds)], "left")
-    rows = rows.join(coupon, [rows["id"] == coupon["cou_id"],
-                              *_near(rows, coupon, "_od_at", "_cou_at", bounds)], "left")
+    if rows.isStreaming:
+        rows = rows.join(activity, [rows["id"] == activity["act_id"],
+                                    *_near(rows, activity, "_od_at", "_act_at", bounds)], "left")
+        rows = rows.join(coupon, [rows["id"] == coupon["cou_id"],
+                                  *_near(rows, coupon, "_od_at", "_cou_at", bounds)], "left")
+    else:
+        rows = _with_extras(rows, detail, activity, coupon)
     return rows.select(
         "id", "order_id", "user_id", "order_status", "sku_id", "sku_name", "province_id",
         "activity_id", "activity_rule_id", "coupon_id",
@@ -95,6 +98,19 @@ def order_wide(log: Log, dic: Dictionary, bounds: Bounds | None = None) -> DataF
         "type", "old", "od_ts", "oi_ts", F.current_timestamp().alias("row_op_ts"))
 
 
+def _with_extras(rows: DataFrame, detail: DataFrame, activity: DataFrame, coupon: DataFrame) -> DataFrame:
+    """The activity and coupon of details, joined by the order the wide rows already lie by. Pairs of a
+    detail's and its order's key go to the extras, so the wide rows are not shuffled again."""
+    keys = detail.select(F.col("id").alias("_id"), F.col("order_id").alias("_order")).repartition(
+        "_id").distinct()
+    act = activity.join(keys, activity["act_id"] == keys["_id"], "inner").select(
+        *activity.columns, F.col("_order").alias("_act_order"))
+    cou = coupon.join(keys, coupon["cou_id"] == keys["_id"], "inner").select(
+        *coupon.columns, F.col("_order").alias("_cou_order"))
+    rows = rows.join(act, [rows["order_id"] == act["_act_order"], rows["id"] == act["act_id"]], "left")
+    return rows.join(cou, [rows["order_id"] == cou["_cou_order"], rows["id"] == cou["cou_id"]], "left")
+
+
 #: Source tables of a wide order row.
 ORDER_TABLES = ("order_detail", "order_info", "order_detail_activity", "order_detail_coupon")
 

@@ -42,6 +42,8 @@ def configure(spark: SparkSession, time_zone: str = "UTC") -> SparkSession:
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # split a hot join partition even where the grouping after it then needs one more shuffle
     conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # rows that lie by one of a join's keys stay where they are
+    conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 
