@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -369,18 +369,42 @@ def _run(writer: DataStreamWriter, spark: SparkSession, name: str,
     query.awaitTermination()
 
 
+def _by_time(rows: DataFrame, at: str, parts: int, cuts: Sequence[float] | None = None) -> Column:
+    """The number of the part a row falls in by its time. Cuts that aren't given are quantiles; a row
+    without a time is in the first part."""
+    time = F.col(at).cast("double")
+    if cuts is None:
+        cuts = rows.select(time.alias("at")).approxQuantile(
+            "at", [k / parts for k in range(1, parts)], 0.01)
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + F.coalesce((time > cut).cast("int"), F.lit(0))
+    return part
+
+
+def _turns(rows: DataFrame, name: str, at: str, parts: int = 4) -> Iterator[DataFrame]:
+    """The same rows as a stream that grows by a part a turn, for a job that is started in turn and goes
+    on from its checkpoint. The rows are made once and leave their tasks as files of the part they fall
+    in. A part starts with a row that only keeps it from being left out as empty."""
+    spark, schema, path = rows.sparkSession, rows.schema, work_dir(rows.sparkSession, name)
+    marks = spark.range(parts, numPartitions=1).select(
+        *(F.lit(None).cast(field.dataType).alias(field.name) for field in schema.fields),
+        F.lit(True).alias("_mark"), F.col("id").cast("int").alias("_part"))
+    (marks.union(rows.select(*schema.names, F.lit(False).alias("_mark"), _by_time(rows, at, parts).alias("_part")))
+     .write.partitionBy("_part").parquet(path))
+    marked = T.StructType([*schema.fields, T.StructField("_mark", T.BooleanType())])
+    for number in range(parts):
+        yield (spark.readStream.schema(marked).parquet(f"{path}/_part=[0-{number}]")
+               .filter("NOT _mark").drop("_mark"))
+
+
 def _replayed(rows: DataFrame, name: str, closing: DataFrame | None = None, parts: int = 4,
               at: str = "ts", late: Column | None = None,
               cuts: Sequence[float] | None = None) -> DataFrame:
     """The rows as a stream of several micro-batches in order of time, and last the
     closing rows, which only move the watermark on. Rows for which `late` holds come one micro-batch
-    after their time. Cuts that aren't given are quantiles."""
-    if cuts is None:
-        cuts = rows.select(F.col(at).cast("double").alias("at")).approxQuantile(
-            "at", [k / parts for k in range(1, parts)], 0.01)
-    part = F.lit(0)
-    for cut in cuts:
-        part = part + (F.col(at).cast("double") > cut).cast("int")
+    after their time."""
+    part = _by_time(rows, at, parts, cuts)
     if late is not None:
         part = F.least(part + F.coalesce(late, F.lit(False)).cast("int"), F.lit(parts - 1))
     cut = [rows.filter(part == number) for number in range(parts)]
@@ -429,12 +453,13 @@ def stream_log_split(spark: SparkSession, sf: str) -> DataFrame:
 def stream_change_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The raw change feed of coupons and carts, split once in several micro-batches; the coupon
     orders out of their partition."""
-    feed = standin.as_one_log(standin.table_changes(spark, sf, "coupon_use", "cart_info"))
+    feed = standin.as_one_log(standin.table_changes(spark, sf, "coupon_use", "cart_info", dealt=True))
     text = feed.select(F.to_json(F.struct(*S.ENVELOPE.names)).alias("value"),
                        F.col("ts").cast("bigint").alias("at"))
     path = work_dir(spark, "change-tables")
-    changes_of = feeds.change_log(_replayed(text, "change-text", at="at"))
-    _run(sinks.to_change_tables(changes_of, path), spark, "change-tables")
+    for grown in _turns(text, "change-text", at="at"):
+        _run(sinks.to_change_tables(feeds.change_log(grown), path), spark, "change-tables",
+             f"{path}-checkpoint")
     return facts.coupon_order(feeds.stored_changes(spark, path, "coupon_use", stream=False))
 
 

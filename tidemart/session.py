@@ -44,6 +44,8 @@ def configure(spark: SparkSession, time_zone: str = "UTC") -> SparkSession:
     conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     # rows that lie by one of a join's keys stay where they are
     conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # a task that writes a few partitions keeps a file of each open, and sorts only if there are more
+    conf.set("spark.sql.maxConcurrentOutputFileWriters", "16")
     conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 

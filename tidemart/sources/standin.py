@@ -23,6 +23,10 @@ ROUTING_ROWS = [
 ]
 
 
+# Columns that tell a table's rows apart, and that its changes use anyway.
+DEALT_BY = {"orders": ("o_orderkey", "o_custkey", "o_orderdate"),
+            "events": ("event_id", "user_id", "ts")}
+
 # per application and path: the schema
 _KNOWN: dict[tuple[str, str], T.StructType] = {}
 
@@ -148,11 +152,12 @@ def _clock(seconds: Column) -> Column:
 
 
 def table_changes(spark: SparkSession, sf_dir: str, *tables: str, stream: bool = False,
-                  ) -> dict[str, DataFrame]:
+                  dealt: bool = False) -> dict[str, DataFrame]:
     """The change log kept per source table, with typed images: a job reads only the tables, and
-    of their images only the columns, that it uses."""
+    of their images only the columns, that it uses. `dealt` rows are spread over the cores before their
+    images are made."""
     names = tables or tuple(MAKERS)
-    sources = {source: _source(spark, sf_dir, source, stream)
+    sources = {source: _source(spark, sf_dir, source, stream, dealt)
                for source in {MAKERS[name][0] for name in names}}
     return {name: MAKERS[name][1](name, sources[MAKERS[name][0]]) for name in names}
 
@@ -175,8 +180,17 @@ def as_one_log(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [with_maps(rows) for rows in tables.values()])
 
 
-def _source(spark: SparkSession, sf_dir: str, name: str, stream: bool) -> DataFrame:
+def _dealt(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of a table over as many tasks as there are cores, and more as its files are split in
+    more, however few row groups the files have. Rows that a filter above leaves out stay where they are."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    return rows.repartition(tasks, *DEALT_BY[name])
+
+
+def _source(spark: SparkSession, sf_dir: str, name: str, stream: bool, dealt: bool = False) -> DataFrame:
     rows = table(spark, sf_dir, name, stream)
+    if dealt:
+        rows = _dealt(rows, name)
     if name != "events":
         return rows
     return rows.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
