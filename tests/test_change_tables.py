@@ -47,3 +47,14 @@ def test_turns_hand_out_each_row_once_in_order_of_time(spark, count):
     if count:
         added = [sorted({*now} - {*before} - {999}) for before, now in zip([[], *seen], seen)]
         assert 999 in seen[0] and sum(added, []) == list(range(999)) and all(len(a) > 200 for a in added)
+
+
+def test_log_text_of_one_row_group_is_made_by_many_tasks(spark, sf, monkeypatch):
+    made, replayed = [], catalog._replayed
+    monkeypatch.setattr(catalog, "_replayed", lambda rows, *more, **named: made.append(rows) or replayed(
+        rows, *more, **named))
+    catalog.stream_log_split(spark, sf)
+    text, = made
+    tasks = text.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == 8 and max(t["count"] for t in tasks) < sum(t["count"] for t in tasks) / 4
+    assert only_in(text, standin.behaviour_text(spark, sf, timed=True)) == (0, 0)

@@ -434,7 +434,7 @@ def stream_new_visitor_repair(spark: SparkSession, sf: str) -> DataFrame:
 def stream_log_split(spark: SparkSession, sf: str) -> DataFrame:
     """Raw text in several micro-batches through the fan-out, and its five streams read back with
     the keys nobody knows."""
-    text = _replayed(standin.behaviour_text(spark, sf, timed=True), "log-text", at="at").drop("at")
+    text = _replayed(standin.behaviour_text(spark, sf, timed=True, dealt=True), "log-text", at="at").drop("at")
     log = rules.repair_new_visitors(logs.parse_text(text).clean, TIE)
     path = work_dir(spark, "log-streams")
     _run(sinks.to_log_streams(log, path), spark, "log-streams")

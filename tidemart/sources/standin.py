@@ -56,9 +56,11 @@ def _money(value: Column) -> Column:
 
 # --- behaviour log -----------------------------------------------------------------------------
 
-def behaviour(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
-    """Events as parsed behaviour-log rows, with `event_id` kept to break ties."""
-    return behaviour_of(table(spark, sf_dir, "events", stream))
+def behaviour(spark: SparkSession, sf_dir: str, stream: bool = False, dealt: bool = False) -> DataFrame:
+    """Events as parsed behaviour-log rows, with `event_id` kept to break ties. `dealt` events are spread
+    over the cores before their rows are made."""
+    events = table(spark, sf_dir, "events", stream)
+    return behaviour_of(_dealt(events, "events") if dealt else events)
 
 
 def behaviour_of(events: DataFrame) -> DataFrame:
@@ -97,11 +99,11 @@ def behaviour_of(events: DataFrame) -> DataFrame:
         "event_id")
 
 
-def behaviour_text(spark: SparkSession, sf_dir: str, timed: bool = False) -> DataFrame:
+def behaviour_text(spark: SparkSession, sf_dir: str, timed: bool = False, dealt: bool = False) -> DataFrame:
     """The same log as raw text in which every tenth kind of row is damaged: cut short, emptied,
     or without its `common` part. With `timed`, the time stands beside it as `at`, and the objects
     hold keys that the mart doesn't know."""
-    rows = behaviour(spark, sf_dir)
+    rows = behaviour(spark, sf_dir, dealt=dealt)
     if timed:
         rows = rows.withColumns({
             "common": F.col("common").withField("os", F.concat(F.lit("os"), F.col("common.vc"))),
